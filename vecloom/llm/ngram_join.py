@@ -37,7 +37,7 @@ from vecloom.llm.hashing import gram_hashes, word_hashes
 WORDS, PERCENT = 5, 80
 SKETCH = 1 << 20
 #: Members of one token cell, members of one group, and group pairs of one verification cell, about.
-CELL_MEMBERS, GROUP_MEMBERS, CELL_PAIRS = 1024, 64, 50_000
+CELL_MEMBERS, GROUP_MEMBERS, CELL_PAIRS = 1024, 64, 200_000
 #: Shingles that one local count covers; the sketch holds those that it saw more than once.
 LOCAL_SHINGLES = 2_000_000
 
@@ -208,19 +208,22 @@ def _layout(batches):
     """Candidate lists with home and block count -> rows of cells: lists, and wanted nodes (no list)."""
     wanted: set[tuple[int, int]] = set()
     for b in batches:
+        merged: dict[tuple[int, int], tuple[int, set[int]]] = {}
+        for r in b.to_pylist():  # a node's lists come from several shingles
+            merged.setdefault((r["home"], r["node"]), (r["blocks"], set()))[1].update(r["partners"])
         out: list[tuple[int, int, list | None]] = []
-        for r in b.to_pylist():
-            blocks, node, own = r["blocks"], r["node"], {}
-            for p in r["partners"]:
+        for (home, node), (blocks, partners) in merged.items():
+            own: dict[int, list[int]] = {}
+            for p in partners:
                 own.setdefault(p % blocks, []).append(p)
             for j, ps in own.items():
-                cell = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(f"{r['home']}:{node % blocks}:{j}")).view(np.int64)))
+                cell = int(np.uint64(xxhash.xxh3_64_intdigest(f"{home}:{node % blocks}:{j}")).view(np.int64))
                 out.append((cell, node, ps))
                 for p in (node, *ps):
                     if (cell, p) not in wanted:
                         wanted.add((cell, p))
                         out.append((cell, p, None))
-            if len(wanted) > 1_000_000:  # a node may then be sent twice, which changes nothing
+            if len(wanted) > 1_000_000:  # a node may then be wanted twice, which changes nothing
                 wanted.clear()
         cell, node, ps = map(list, zip(*out)) if out else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(node, pa.int64()), pa.array(ps, pa.list_(pa.int64()))], schema=CELLS)
@@ -279,21 +282,30 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+DEALT_DDL = "cell long, node long, partners array<long>, h1 long, shingles array<long>"
+
+
 def _whole_sets(words: int):
-    """Texts of class representatives -> their sets; a row whose key only collides is left out."""
+    """Texts of class representatives -> their sets, once for each cell that wants them.
+
+    A row whose key only collides with a representative's is left out.
+    """
 
     def run(batches):
         for b in batches:
-            want, texts, keep, flat, off = b.column(0).to_pylist(), b.column(2), [], [], [0]
-            for i, h in enumerate(want):
+            h1, node, cells, texts = (b.column(i) for i in range(4))
+            rows, flat, off = [], [], [0]
+            for i, h in enumerate(h1.to_pylist()):
                 u = shingles(texts[i].as_py(), words)
                 if len(u) and set_hash(u) == h:
-                    keep.append(i)
-                    flat.append(u)
-                    off.append(off[-1] + len(u))
+                    for cell in cells[i].as_py():
+                        rows.append((cell, i))
+                        flat.append(u)
+                        off.append(off[-1] + len(u))
             values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))], names=["h1", "node", "shingles"])
+            at = pa.array([i for _, i in rows], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), node.take(at), pa.nulls(len(rows), pa.list_(pa.int64())), h1.take(at), lists], names=["cell", "node", "partners", "h1", "shingles"])
 
     return run
 
@@ -328,14 +340,15 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     home = lists.groupBy("node").agg(F.min("low").alias("home"), F.sum(F.size("partners")).alias("pairs"))
     work = home.groupBy("home").agg(F.ceil(F.sqrt(F.sum("pairs") / CELL_PAIRS)).cast("long").alias("blocks"))
     home = stored(home.join(work, "home").select("node", "home", F.greatest("blocks", F.lit(1)).alias("blocks")), "home")
-    laid = lists.where(F.size("partners") > 0).select("node", "partners").join(home, "node").repartition("home").mapInArrow(_layout, CELLS_DDL)
+    laid = lists.where(F.size("partners") > 0).select("node", "partners").join(home, "node").repartition("home", F.pmod("node", "blocks")).mapInArrow(_layout, CELLS_DDL)
     laid = stored(laid, "cells")
 
-    # the whole sets of classes that have a partner
-    wanted = stored(classes.join(ids.select("pk", "n", "lot", "gid"), ["pk", "n", "lot"]).join(home.select(F.col("node").alias("gid")), "gid").select("h1", F.col("gid").alias("node"), "rk"), "wanted")
-    found = rows.select("rk", "text").join(maybe_broadcast(wanted, wanted.count(), 48), "rk").select("h1", "node", "text")
-    found = stored(found.mapInArrow(_whole_sets(words), "h1 long, node long, shingles array<long>"), "found")
-    sent = laid.where("partners is null").select("cell", "node").join(found, "node").select("cell", "node", F.lit(None).cast("array<long>").alias("partners"), "h1", "shingles")
+    # the whole sets of classes that have a partner go to the cells that want them
+    cells = laid.where("partners is null").groupBy("node").agg(F.collect_set("cell").alias("cells"))
+    wanted = stored(classes.join(ids.select("pk", "n", "lot", F.col("gid").alias("node")), ["pk", "n", "lot"]).join(cells, "node").select("rk", "h1", "node", "cells"), "wanted")
+    size = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("cells")), F.lit(0)).alias("cells")).first()
+    found = rows.select("rk", "text").join(maybe_broadcast(wanted, 1, 64 * size["rows"] + 8 * size["cells"]), "rk").select("h1", "node", "cells", "text")
+    sent = found.mapInArrow(_whole_sets(words), DEALT_DDL)
     asked = laid.where("partners is not null").select("cell", "node", "partners", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("array<long>").alias("shingles"))
     dealt = asked.unionByName(sent).repartition("cell").sortWithinPartitions("cell", F.col("h1").asc_nulls_first())
     label = components(dealt.mapInArrow(_verify(percent), "u long, v long"))
@@ -344,7 +357,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     named = classes.join(label.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "n", "doc_id", F.coalesce("label", "h1").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = stored(named.join(least, "label").select("h1", "h2", "n", "component_id"), "components")
-    drop_stored(lots, lists, home, laid, wanted, found, classes)
+    drop_stored(lots, lists, home, laid, wanted, classes)
     return sets.select("doc_id", "n", "h1", "h2").join(by_set, ["h1", "h2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
