@@ -73,14 +73,15 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within `edits` edits: a banded automaton, bit-parallel over diagonals.
+def within_edits(ca: Column, cb: Column, edits: int) -> Column:
+    """Whether two arrays of characters are within `edits` edits: a banded automaton, bit-parallel over diagonals.
+
+    The arrays have to be stored columns: an expression would be evaluated anew in every step.
 
     After j characters of b, bit d + edits of word e says whether j + d characters of a match them
     with e errors at most.
     """
-    ca, cb = F.split(a, ""), F.split(b, "")
-    na, nb, full = F.char_length(a), F.char_length(b), (1 << (2 * edits + 1)) - 1
+    na, nb, full = F.size(ca), F.size(cb), (1 << (2 * edits + 1)) - 1
 
     def deletions(words: list[Column]) -> list[Column]:
         return [w if not e else w.bitwiseOR(F.shiftleft(words[e - 1], 1).bitwiseAND(full)) for e, w in enumerate(words)]
@@ -132,8 +133,8 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     pairs = stored(indexed.alias("i").join(probes.alias("p"), near).select("a", "b").distinct(), "pairs")
     wanted = stored(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "wanted")
     texts = lines.select(F.xxhash64("line").alias("h1"), "line").join(maybe_broadcast(wanted, wanted.count(), 16), "h1", "left_semi").groupBy("h1").agg(F.max("line").alias("line"))
-    texts = stored(texts, "texts")
-    met = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("sa")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("sb")), "b")
+    texts = stored(texts.select("h1", F.split("line", "").alias("chars")), "texts")
+    met = pairs.join(texts.select(F.col("h1").alias("a"), F.col("chars").alias("sa")), "a").join(texts.select(F.col("h1").alias("b"), F.col("chars").alias("sb")), "b")
     links = met.where(within_edits(F.col("sa"), F.col("sb"), max_edits)).select("a", "b")
     place = firsts.select("h1", "first")
     later = links.join(place.select(F.col("h1").alias("a"), F.col("first").alias("fa")), "a").join(place.select(F.col("h1").alias("b"), F.col("first").alias("fb")), "b")
