@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import regex
@@ -11,11 +12,22 @@ import regex
 ODD = regex.compile(r"[^\u0000-\u0557\u2000-\u206F\u20A0-\u20BF\u2100-\u2BFF\u3040-\u30FF\u4E00-\u9FEF\uAC00-\uD7A3\uFF00-\uFFDC\U0001F300-\U0001F64F]")
 
 
+#: Texts of these characters alone: here Python's own engine has the pattern's classes, and is faster.
+PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*").fullmatch
+PLAIN_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+
+
 @cache
 def splitter():
+    """Text -> the pieces of public_tokenizers.PATTERN."""
     import public_tokenizers
 
-    return regex.compile(public_tokenizers.PATTERN).findall
+    any_split = regex.compile(public_tokenizers.PATTERN).findall
+    return lambda text: PLAIN_SPLIT(text) if PLAIN(text) else any_split(text)
+
+
+def odd(text: str) -> bool:
+    return PLAIN(text) is None and ODD.search(text) is not None
 
 
 def byte_symbols() -> dict[str, int]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import batch_of, tokenizer_path
-from vecloom.llm.pieces import ODD, PieceCache, byte_symbols, splitter
+from vecloom.llm.pieces import PieceCache, byte_symbols, odd, splitter
 
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 COUNTS_DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -72,7 +72,7 @@ class PairMerger:
         return count
 
     def _count_plain(self, text: str) -> int:
-        if ODD.search(text):
+        if odd(text):
             return sum(self.count_piece(p) for p in self.odd_pieces(text))
         return sum(map(self.cache.__getitem__, self.split(text)))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import scratch, text_bytes, tokenizer_path
-from vecloom.llm.pieces import ODD, PieceCache, byte_symbols, splitter
+from vecloom.llm.pieces import PieceCache, byte_symbols, odd, splitter
 
 END_ID = 0
 SHARD = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -50,7 +50,7 @@ class LibraryEncoder:
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.split = splitter()
         self.shown = str.maketrans({chr(b): c for c, b in byte_symbols().items()})
-        self.cache = PieceCache(self.encode_piece)
+        self.cache = PieceCache(self.encode_piece, 1_000_000)
 
     def encode_piece(self, piece: str) -> bytes:
         """The library's merges of one piece, written in the vocabulary's printable bytes."""
@@ -65,7 +65,7 @@ class LibraryEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if any(a in text for a in self.added) or ODD.search(text):
+        if any(a in text for a in self.added) or odd(text):
             return self.encode_whole(text)
         return b"".join(map(self.cache.__getitem__, self.split(text)))
 
