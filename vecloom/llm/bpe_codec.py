@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batch_of, tokenizer_path
+from vecloom.llm.common import batch_of, text_batches, tokenizer_path
 from vecloom.llm.pieces import PieceCache, splitter
 
 CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 CODED_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-LEAF_BYTES = 8
+LEAF_BYTES = 16
 NONE = 1 << 60
 
 
@@ -37,7 +37,7 @@ class TreeCodec:
         self.bytes_of = {r: t for t, r in self.rank.items()}
         self.split = splitter()
         self.stable: dict[tuple[int, int], bool] = {}
-        self.cache = PieceCache(self._cached)
+        self.cache = PieceCache(self._cached, 250_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """Encode a short piece: merge the lowest-ranked neighbours until none can be merged."""
@@ -117,6 +117,7 @@ def codec(path: str) -> TreeCodec:
 def encode_decode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
     path = ranks or tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    text_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(path)

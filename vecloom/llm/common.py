@@ -56,6 +56,16 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, where the session has Spark's default of 10,000.
+
+    Texts have kilobytes each; the default would put tens of megabytes at a time into each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def text_bytes(text: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null is empty."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BROADCAST_BYTES, batch_of, text_bytes
+from vecloom.llm.common import BROADCAST_BYTES, batch_of, text_batches, text_bytes
 from vecloom.llm.hashing import gram_hashes, word_hashes
 
 WINDOW, K = 13, 5
@@ -118,6 +118,7 @@ def _item_rows(benchmark: DataFrame) -> DataFrame:
 
 
 def _small(benchmark: DataFrame, limit: int) -> bool:
+    text_batches(benchmark.sparkSession)
     size = _item_rows(benchmark).agg(F.sum(F.length("text") + 64).alias("n")).first()["n"]
     return (size or 0) <= limit
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import drop_stored, stored, text_bytes
+from vecloom.llm.common import drop_stored, stored, text_batches, text_bytes
 
 STATES, CLASSES, PASSES = 8, 1024, 4
 CHUNK_TOKENS, SEGMENT, LANES = 2_000_000, 128, 2048
@@ -215,6 +215,7 @@ SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_
 def score_documents(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
+    text_batches(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     chunks = stored(docs.select(F.col("doc_id").cast("long"), held, text_bytes()).mapInArrow(_chunked, CHUNKS_DDL), "chunks")
     rows, words = chunks.where("slot is null"), chunks.where("slot is not null")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batch_of, scratch, text_bytes
+from vecloom.llm.common import batch_of, scratch, text_batches, text_bytes
 
 WIDTH = 64
 PNG_HEAD = 33  # signature, then the IHDR chunk
@@ -123,6 +123,7 @@ def store_media(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20) -> D
         w.close()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, STORED_DDL)
+    text_batches(docs.sparkSession)
     # a shard is named before the task's last row is out, so rows and shards are kept or lost together
     rows.write.parquet(f"{folder}/catalogue")
     return docs.sparkSession.read.schema(STORED_DDL).parquet(f"{folder}/catalogue")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vecloom.llm.common import drop_stored, maybe_broadcast, stored, text_bytes
+from vecloom.llm.common import drop_stored, maybe_broadcast, stored, text_batches, text_bytes
 from vecloom.llm.components import components
 from vecloom.llm.hashing import gram_hashes, word_hashes
 
@@ -313,6 +313,7 @@ def _whole_sets(words: int):
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rk"), text_bytes().alias("text"))
     shared = spark.sparkContext.broadcast(frequency_sketch(rows, words))
     sets = stored(rows.mapInArrow(_sets(shared, words, percent), SETS_DDL), "sets")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.boosting import BoostedTrees
-from vecloom.llm.common import batch_of
+from vecloom.llm.common import batch_of, text_batches
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("x_number", "x_email", "x_key")
@@ -167,6 +167,7 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 def find_personal_data(docs: DataFrame, examples: int = 6000, precision: float = 0.95) -> DataFrame:
     """doc_id, counts by base kind, base_sha256 and spans (kind:start:end) for every row of docs."""
     trees, cuts = detector(examples, precision)
+    text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

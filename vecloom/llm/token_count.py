@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batch_of, tokenizer_path
+from vecloom.llm.common import batch_of, text_batches, tokenizer_path
 from vecloom.llm.pieces import PieceCache, byte_symbols, odd, splitter
 
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -103,6 +103,7 @@ def merger(path: str) -> PairMerger:
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
+    text_batches(docs.sparkSession)
 
     def run(batches):
         m = merger(path)

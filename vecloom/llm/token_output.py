@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import scratch, text_bytes, tokenizer_path
+from vecloom.llm.common import scratch, text_batches, tokenizer_path
 from vecloom.llm.pieces import PieceCache, byte_symbols, odd, splitter
 
 END_ID = 0
@@ -95,6 +95,7 @@ def _encode_part(path: str):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, parts: int | None = None, row_index_stride: int = 1000, stripe_bytes: int = 32 << 20) -> None:
     """Encode documents (doc_id, text) in ascending doc_id order into ORC files under path."""
+    text_batches(docs.sparkSession)
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the partition count follows the input: with no count, Spark uses the session's and AQE may merge small ones

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batch_of
+from vecloom.llm.common import batch_of, text_batches
 from vecloom.llm.pieces import PieceCache
 
 SAMPLE, LEXICON, THRESHOLD = 20_000, 256, 0.7
@@ -126,7 +126,7 @@ class ToxicModel:
 
     def __post_init__(self):
         self.trie = Trie(self.terms)
-        self.cache = PieceCache(self._match)
+        self.cache = PieceCache(self._match, 200_000)
 
     def __reduce__(self):
         return ToxicModel, (self.terms, self.strength, self.ordinary, self.weights, self.bias)
@@ -218,6 +218,7 @@ def _word_counts(batches):
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON, least: int = 8, odds: float = 20.0) -> ToxicModel:
     """Lexicon, ordinary near forms and weights from labelled rows."""
+    text_batches(docs.sparkSession)
     rows = training_rows(docs, labels, sample)
     words = rows.mapInArrow(_word_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
