@@ -93,6 +93,11 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return out + [(2, *m.span()) for m in KEY.finditer(text)]
 
 
+def cue(before: list[str]) -> float:
+    """The nearest announcing word before a span: positive for personal data, less with its distance."""
+    return next(((1 if w in FOR else -1) / n for n, w in enumerate(reversed(before), 1) if w in FOR or w in AGAINST), 0.0)
+
+
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
     s = text[start:end]
     before = re.findall(r"[a-z]+", text[max(0, start - 40):start].lower())[-4:]
@@ -102,7 +107,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     counts = np.array([s.count(c) for c in set(s)], float) / max(1, len(s))
     return [
         kind, len(s), len(digits), len(digits) / max(1, len(s)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
-        luhn(digits) if 12 <= len(digits) <= 19 else 0, "(" in s, s.count("-") + s.count(" "), s.count(".") + s.count("/"), any(w in FOR for w in before), any(w in AGAINST for w in before), any(w in FOR for w in after),
+        luhn(digits) if 12 <= len(digits) <= 19 else 0, "(" in s, s.count("-") + s.count(" "), s.count(".") + s.count("/"), cue(before), any(w in FOR for w in after),
         float(-(counts * np.log2(counts)).sum()), sum(c.isupper() for c in s) / max(1, len(s)), sum(c.islower() for c in s) / max(1, len(s)), bool(re.fullmatch(r"[0-9a-f]+", s)), "[at]" in s or "(at)" in s or "{at}" in s, text[max(0, start - 1):start] in ("=", ":", '"', "'"),
     ]
 

@@ -34,6 +34,8 @@ from vecloom.llm.pieces import PieceCache
 SAMPLE, LEXICON, THRESHOLD = 20_000, 256, 0.7
 #: A term of at least this strength counts with errors, too.
 STRONG = 0.8
+#: What a near form of a term counts for, of the term itself.
+NEAR = 0.9
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_hits", pa.int64())])
 SCORES_DDL = "doc_id long, score double, predicted int, n_hits long"
 #: Look-alike characters of disguised words.
@@ -167,18 +169,17 @@ class ToxicModel:
                 quoted, near_quoted = quoted + strength * (not only_near), near_quoted + strength * only_near
                 continue
             addressed += strength * bool(around & ADDRESS)
-            if only_near:
-                near += strength
-            else:
-                plain, most = plain + strength, max(most, strength)
+            near += strength * only_near
+            worth = strength * (NEAR if only_near else 1)
+            plain, most = plain + worth, max(most, worth)
         return len(hits), [most**4, np.log1p(plain), np.log1p(quoted), np.log1p(near), np.log1p(near_quoted), np.log1p(addressed)]
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(rows @ self.weights + self.bias)))
 
 
-#: Where the weights are drawn to for want of evidence: quotations add nothing, one near form of a strong term is enough.
-PRIOR = np.array([4.0, 2.0, 0.0, 8.0, 0.0, 0.5])
+#: Where the weights are drawn to for want of evidence: quotations add nothing, near forms nothing beyond their part of a hit.
+PRIOR = np.array([4.0, 2.0, 0.0, 0.0, 0.0, 0.5])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
