@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.operators.config import EmptyIndex, IndexConfig, InvalidDimension, check_dim
@@ -200,17 +200,18 @@ def probed(index: Index, queries: np.ndarray, nprobe: int) -> np.ndarray:
 
 
 def coarse(signs: np.ndarray, q: np.ndarray, config: IndexConfig) -> np.ndarray:
-    """Inner products of sign codes with one rotated residual query, by the configured estimator."""
-    dim = len(q)
+    """Inner products (query, row) of sign codes with rotated residual queries, by the configured estimator."""
+    dim = q.shape[1]
     if config.fastscan:
-        same = signs @ np.where(q >= 0, 1.0, -1.0)  # dim - 2 * Hamming distance
-        return same * ((np.sqrt((q**2).sum()) if config.compat else np.abs(q).sum()) / dim)
+        same = np.where(q >= 0, 1.0, -1.0) @ signs.T  # dim - 2 * Hamming distance
+        return same * ((np.sqrt((q**2).sum(1)) if config.compat else np.abs(q).sum(1)) / dim)[:, None]
     if 1 <= config.query_bits <= 8:
         levels = 2**config.query_bits
-        low, step = q.min(), (q.max() - q.min()) / (levels - 1)
-        level = np.trunc((q - low) / step) if step > 0 else np.zeros(dim)
-        return signs @ ((level - levels // 2) * step if config.compat else low + level * step)
-    return signs @ q
+        low = q.min(1, keepdims=True)
+        step = np.maximum((q.max(1, keepdims=True) - low) / (levels - 1), 1e-300)
+        level = np.trunc((q - low) / step)
+        return ((level - levels // 2) * step if config.compat else low + level * step) @ signs.T
+    return q @ signs.T
 
 
 def search(index: Index, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
@@ -229,33 +230,69 @@ def search(index: Index, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     by_part = {int(p): np.nonzero((parts == p).any(1))[0] for p in np.unique(parts)}
     keep = k * config.refine_k if config.refine_sq8 else k
     shared = spark.sparkContext.broadcast((ids, q, index.centroids, index.rotation, index.low, index.scale, by_part))
-    ddl = "qid long, vec_id long, partition_id int, coarse double, score double"
 
-    def run(batches):
+    def local(batches):
+        """Each query's best `keep` rows of one task, by the coarse score, as one list."""
         ids, q, centroids, rotation, low, scale, wanted = shared.value
+        held: dict[int, list] = {}
         for b in batches:
             part = b.column(5).to_numpy()
-            out = []
             for p in np.unique(part):
-                own = np.nonzero(part == p)[0]
-                take = pa.array(own)
+                asked = wanted.get(int(p), ())
+                if not len(asked):
+                    continue
+                take = pa.array(np.nonzero(part == p)[0])
                 vec, norm, doo = (b.column(i).take(take).to_numpy() for i in (0, 2, 3))
-                code = b.column(1).take(take).flatten().to_numpy().reshape(len(own), -1)
-                signs = unpack(code)
-                deq = np.frombuffer(b"".join(b.column(4).take(take).to_pylist()), np.uint8).reshape(len(own), -1) / scale[p] + low[p] if config.refine_sq8 else None
-                for i in wanted.get(int(p), ()):
-                    r = q[i] - centroids[p]
-                    s = norm**2 + (r**2).sum() - 2 * norm * coarse(signs, rotation @ r, config) / np.maximum(doo, 1e-8)
-                    best = np.lexsort((vec, s))[:keep]
-                    fine = ((r - deq[best]) ** 2).sum(1) if config.refine_sq8 else s[best]
-                    out += zip([int(ids[i])] * len(best), vec[best].tolist(), [int(p)] * len(best), s[best].tolist(), fine.tolist())
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()))], names=["qid", "vec_id", "partition_id", "coarse", "score"])
-
-    found = index.codes.where(F.col("partition_id").isin([*by_part])).mapInArrow(run, ddl)
-    first = Window.partitionBy("qid").orderBy("coarse", "vec_id")
-    last = Window.partitionBy("qid").orderBy("score", "vec_id")
-    return found.withColumn("c", F.row_number().over(first)).where(F.col("c") <= keep).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "partition_id", "score")
+                signs = unpack(b.column(1).take(take).flatten().to_numpy().reshape(len(vec), -1))
+                r = q[asked] - centroids[p]
+                near = (r**2).sum(1)[:, None]
+                s = norm**2 + near - 2 * norm * coarse(signs, r @ rotation.T, config) / np.maximum(doo, 1e-8)
+                fine = s
+                if config.refine_sq8:
+                    deq = np.frombuffer(b"".join(b.column(4).take(take).to_pylist()), np.uint8).reshape(len(vec), -1) / scale[p] + low[p]
+                    fine = near - 2 * r @ deq.T + (deq**2).sum(1)
+                for i, own, exact in zip(asked.tolist(), s, fine):
+                    held.setdefault(i, []).append(best_of(keep, own, vec, np.full(len(vec), p, np.int32), exact))
+        out = [(i, best_of(keep, *map(np.concatenate, zip(*rows)))) for i, rows in held.items()]
+        sizes = np.concatenate([[0], np.cumsum([len(x[0]) for _, x in out])]).astype(np.int32)
+        columns = [np.concatenate(c) for c in zip(*(x for _, x in out))] if out else [np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in out], pa.int64()), *(pa.ListArray.from_arrays(pa.array(sizes), pa.array(c)) for c in columns)], names=["qid", "coarse", "vec_id", "partition_id", "score"])
+
+    def final(batches):
+        """Rows in order of qid -> the best k by the fine score among the best `keep` by the coarse one."""
+        now, held = None, []
+
+        def close():
+            s, vec, part, exact = best_of(keep, *map(np.concatenate, zip(*held)))
+            order = np.lexsort((vec, exact))[:k]
+            n = len(order)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(vec[order]), pa.array(part[order]), pa.array(exact[order])], names=["qid", "rank", "vec_id", "partition_id", "score"])
+
+        done = []
+        for b in batches:
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (b.column(i) for i in range(1, 5))]
+            for i, qid in enumerate(b.column(0).to_pylist()):
+                if qid != now and held:
+                    done.append(close())
+                    held = []
+                now = qid
+                held.append([v[o[i]:o[i + 1]] for o, v in lists])
+        if held:
+            done.append(close())
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+
+    ddl = "qid long, coarse array<double>, vec_id array<long>, partition_id array<int>, score array<double>"
+    found = index.codes.where(F.col("partition_id").isin([*by_part])).mapInArrow(local, ddl)
+    return found.repartition("qid").sortWithinPartitions("qid").mapInArrow(final, "qid long, rank int, vec_id long, partition_id int, score double")
+
+
+def best_of(keep: int, score: np.ndarray, vec: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The `keep` least scores with their columns; ties at the cut go to the lower vec_id."""
+    if len(score) > keep:
+        at = np.lexsort((vec, score))[:keep]
+        return score[at], vec[at], *(x[at] for x in rest)
+    return score, vec, *rest
 
 
 def exact_batch(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -14,7 +14,9 @@ from vecloom.functions import vectors as V
 def exact_knn(base: DataFrame, query: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The k nearest rows of base to the one row of query (q); ties go to the lower vec_id."""
     measure = {"l2": V.l2sq, "ip": lambda a, b: -V.dot(a, b), "cosine": V.cosine_distance}[metric]
-    scored = base.crossJoin(F.broadcast(query.limit(1))).select("vec_id", F.round(measure(F.col("embedding"), F.col("q")), 4).alias("dist"))
+    near = F.round(measure(F.col("embedding"), F.col("q")), 4)
+    # a vector's distance from itself may round to minus zero
+    scored = base.crossJoin(F.broadcast(query.limit(1))).select("vec_id", F.when(near == 0, F.lit(0.0)).otherwise(near).alias("dist"))
     return scored.orderBy("dist", "vec_id").limit(k)
 
 

@@ -51,7 +51,7 @@ METRICS = {"l2": L2.format(**AB), "ip": f"-{DOT.format(**AB)}", "cosine": f"1 -
 
 
 def knn_sql(metric: str, k: int = 10, where: str = "true") -> str:
-    return f"select b.vec_id, round({METRICS[metric]}, 4) as dist from embeddings b, (select embedding from embeddings where vec_id = 3) q where {where} order by dist, b.vec_id limit {k}"
+    return f"select vec_id, case when dist = 0 then 0.0::double else dist end as dist from (select b.vec_id, round({METRICS[metric]}, 4) as dist from embeddings b, (select embedding from embeddings where vec_id = 3) q where {where}) order by dist, vec_id limit {k}"
 
 
 for _metric in METRICS:
