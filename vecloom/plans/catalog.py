@@ -105,11 +105,11 @@ def _(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", V.popcount(V.pack_signs(F.col("embedding"), 64)).cast("long").alias("bits"))
 
 
-@query("dot_matrix", f"select b.vec_id, q.vec_id as qid, round({DOT.format(**AB)}, 4) as dot from embeddings b, embeddings q where q.vec_id < 5")
+@query("dot_matrix", f"select b.vec_id, q.vec_id as qid, {ivf_sql.rounded(DOT.format(**AB))} as dot from embeddings b, embeddings q where q.vec_id < 5")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", "qid", F.round(V.dot(F.col("embedding"), F.col("q")), 4).alias("dot"))
+    return e.crossJoin(F.broadcast(q)).withColumn("dot", F.round(V.dot(F.col("embedding"), F.col("q")), 4)).select("vec_id", "qid", F.when(F.col("dot") == 0, F.lit(0.0)).otherwise(F.col("dot")).alias("dot"))
 
 
 SQ8 = "list_transform(b.embedding, lambda x: floor(round(least(greatest((cast(x as double) + 1) * 127.5, 0), 255), 6)))"

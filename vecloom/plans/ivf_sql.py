@@ -46,26 +46,31 @@ ESTIMATE = "x.rn * x.rn + pr.qd - 2 * x.rn * ({}) / greatest(x.doo, 1e-8)"
 SCORES = {"std": ESTIMATE.format("ip.ip"), "fastscan": ESTIMATE.format("ip.same * ip.sabs"), "fastscan_compat": ESTIMATE.format("ip.same * ip.snorm"), "qq8": ESTIMATE.format("ip.ip8"), "qq4": ESTIMATE.format("ip.ip4")}
 
 
+def rounded(x: str) -> str:
+    """Four decimals, never minus zero."""
+    return f"case when round({x}, 4) = 0 then 0.0 else round({x}, 4) end"
+
+
 def _top(name: str) -> tuple[str, dict]:
-    return "select vec_id, label, round(score, 4) as score from sc order by round(score, 4), vec_id limit 10", {"SCORE": SCORES[name]}
+    return f"select vec_id, label, {rounded('score')} as score from sc order by round(score, 4), vec_id limit 10", {"SCORE": SCORES[name]}
 
 
 FINAL: dict[str, tuple[str, dict]] = {
-    "ivf_centroids": ("select label, d, round(m, 4) as m from c", {}),
+    "ivf_centroids": (f"select label, d, {rounded('m')} as m from c", {}),
     "ivf_assign": ("select vec_id, part from near", {}),
     "ivf_assign_two_level": ("""select vec_id, cand_label as part from (select dist.*, row_number() over (partition by dist.vec_id order by dist.dist, dist.cand_label) as rk from dist
       join (select vec_id, super_id from (select *, row_number() over (partition by vec_id order by dist, super_id) as rk from sdist) where rk <= 2) t on t.vec_id = dist.vec_id and t.super_id = cast(dist.cand_label as int) % 3) where rk = 1""", {}),
-    "lloyd_step": ("select near.part, e.d, round(avg(e.v), 4) as m from e join near on e.vec_id = near.vec_id group by near.part, e.d", {}),
+    "lloyd_step": (f"select near.part, e.d, {rounded('avg(e.v)')} as m from e join near on e.vec_id = near.vec_id group by near.part, e.d", {}),
     "ivf_balance": ("select min(n) as least, max(n) as most, cast(sum(n) as bigint) as total from (select part, count(*) as n from near group by part)", {}),
     "ivf_probe": ("select label, round(qd, 4) as qd from pr", {}),
     "ivf_flat_search": ("select e.vec_id, round(sum((e.v - q.q) * (e.v - q.q)), 4) as dist from e join q on e.d = q.d where e.label in (select label from pr) group by e.vec_id order by round(sum((e.v - q.q) * (e.v - q.q)), 4), e.vec_id limit 10", {}),
     "rabitq_encode": ("select vec_id, cast(positive as bigint) as positive, round(rn, 4) as residual_norm, round(doo, 4) as dot_o_bar_o from x", {}),
     **{f"rabitq_search_{n}": _top(n) for n in SCORES},
-    "sq8_stats": ("select label, d, round(lo, 4) as lo, round(hi, 4) as hi from s", {}),
+    "sq8_stats": (f"select label, d, {rounded('lo')} as lo, {rounded('hi')} as hi from s", {}),
     "sq8_encode": ("select vec_id, cast(sum(code) as bigint) as code_sum from k group by vec_id", {}),
     "sq8_refine": ("select vec_id, dist from fine order by dist, vec_id", {"SCORE": SCORES["std"], "KEEP": "50"}),
     "two_stage_search": ("select vec_id, dist from fine order by dist, vec_id limit 10", {"SCORE": SCORES["fastscan"], "KEEP": "100"}),
-    "recall_at_k": ("""select round(avg(hit), 4) as recall from (select t.qid, t.vec_id, case when n.part = m.part then 1.0 else 0.0 end as hit from truth t join near n on n.vec_id = t.vec_id join near m on m.vec_id = t.qid)""", {}),
+    "recall_at_k": ("""select round(avg(hit), 4) as recall from (select t.qid, t.vec_id, case when n.part = m.part then cast(1 as double) else cast(0 as double) end as hit from truth t join near n on n.vec_id = t.vec_id join near m on m.vec_id = t.qid)""", {}),
     "distance_quality": ("""select round(corr(score, d), 4) as pearson, round(corr(rs, rd), 4) as spearman, round(avg(abs(score - d)), 4) as mae, count(*) as pairs from (select score, d, rank() over (order by round(score, 6)) as rs, rank() over (order by round(d, 6)) as rd from
       (select sc.vec_id, sc.score, sum((e.v - q.q) * (e.v - q.q)) as d from sc join e on e.vec_id = sc.vec_id join q on q.d = e.d group by sc.vec_id, sc.score))""", {"SCORE": SCORES["std"]}),
     "memory_per_vector": ("select round(cast(4 * 64 * 64 + count(distinct label) * 64 * 4 * 4 as double) / count(*) + 84, 4) as bytes_per_vector, round(256 / (cast(4 * 64 * 64 + count(distinct label) * 64 * 4 * 4 as double) / count(*) + 84), 4) as compression from embeddings", {}),
