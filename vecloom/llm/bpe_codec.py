@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import batch_of, text_batches, tokenizer_path
-from vecloom.llm.pieces import PieceCache, splitter
+from vecloom.llm.pieces import ODD, PieceCache, odd, splitter
 
 CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 CODED_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -35,7 +35,6 @@ class TreeCodec:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {r: t for t, r in self.rank.items()}
-        self.split = splitter()
         self.stable: dict[tuple[int, int], bool] = {}
         self.cache = PieceCache(self._cached, 250_000)
 
@@ -91,7 +90,7 @@ class TreeCodec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
     def encode(self, text: str) -> list[int]:
-        return [t for p in self.split(text) for t in self.encode_piece(p)]
+        return [t for p in pieces(text) for t in self.encode_piece(p)]
 
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -104,11 +103,39 @@ class TreeCodec:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the comma-joined ids and of the decoded bytes."""
-        coded = list(map(self.cache.__getitem__, self.split(text)))
+        coded = list(map(self.cache.__getitem__, pieces(text)))
         ids = ",".join([c[0] for c in coded])
         return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([c[1] for c in coded])).hexdigest()
 
 
+@cache
+def stand_in(c: str) -> str:
+    """A common character of the class that tiktoken's split pattern sees in c.
+
+    The library is asked: a letter, digit or sign and c are one piece only if both are of one class.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    raw, ranks = c.encode(), {bytes([b]): b for b in range(256)}
+    for first in b"a1!":
+        for n in range(1, len(raw) + 1):
+            ranks[bytes([first]) + raw[:n]] = len(ranks)
+    lib = tiktoken.Encoding("classes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return next((first for first in "a1!" if len(lib.encode_ordinary(first + c)) == 1), c)
+
+
+def pieces(text: str) -> list[str]:
+    """The library's split: where the text has characters of rare blocks, through their stand-ins."""
+    if not odd(text):
+        return splitter()(text)
+    out, at = [], 0
+    for p in splitter()(ODD.sub(lambda m: stand_in(m[0]), text)):
+        out.append(text[at:at + len(p)])
+        at += len(p)
+    return out
+
+
 @cache
 def codec(path: str) -> TreeCodec:
     return TreeCodec(path)
