@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import drop_stored, stored, text_batches, text_bytes
 
 STATES, CLASSES, PASSES = 8, 1024, 4
-CHUNK_TOKENS, SEGMENT, LANES = 2_000_000, 128, 2048
+CHUNK_TOKENS, SEGMENT, LANES = 4_000_000, 128, 2048
 END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(b"end", 1)).view(np.int64))
 
 
