@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import batch_of, text_batches, tokenizer_path
-from vecloom.llm.pieces import ODD, PieceCache, odd, splitter
+from vecloom.llm.pieces import ODD, PieceCache, any_split, pieces_of
 
 CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 CODED_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -127,10 +127,10 @@ def stand_in(c: str) -> str:
 
 def pieces(text: str) -> list[str]:
     """The library's split: where the text has characters of rare blocks, through their stand-ins."""
-    if not odd(text):
-        return splitter()(text)
+    if (found := pieces_of(text)) is not None:
+        return found
     out, at = [], 0
-    for p in splitter()(ODD.sub(lambda m: stand_in(m[0]), text)):
+    for p in any_split()(ODD.sub(lambda m: stand_in(m[0]), text)):
         out.append(text[at:at + len(p)])
         at += len(p)
     return out

@@ -18,16 +18,18 @@ PLAIN_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|
 
 
 @cache
-def splitter():
-    """Text -> the pieces of public_tokenizers.PATTERN."""
+def any_split():
+    """Text -> the pieces of public_tokenizers.PATTERN, by this module's Unicode tables."""
     import public_tokenizers
 
-    any_split = regex.compile(public_tokenizers.PATTERN).findall
-    return lambda text: PLAIN_SPLIT(text) if PLAIN(text) else any_split(text)
+    return regex.compile(public_tokenizers.PATTERN).findall
 
 
-def odd(text: str) -> bool:
-    return PLAIN(text) is None and ODD.search(text) is not None
+def pieces_of(text: str) -> list[str] | None:
+    """The pieces of public_tokenizers.PATTERN; None for a text with characters of rare blocks."""
+    if PLAIN(text):
+        return PLAIN_SPLIT(text)
+    return None if ODD.search(text) else any_split()(text)
 
 
 def byte_symbols() -> dict[str, int]:

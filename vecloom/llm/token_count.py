@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import batch_of, text_batches, tokenizer_path
-from vecloom.llm.pieces import PieceCache, byte_symbols, odd, splitter
+from vecloom.llm.pieces import PieceCache, byte_symbols, pieces_of
 
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 COUNTS_DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -43,7 +43,7 @@ class PairMerger:
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.split, self.cache = splitter(), PieceCache(self.count_piece)
+        self.cache = PieceCache(self.count_piece)
         self.path = path
 
     def count_piece(self, piece: str) -> int:
@@ -72,9 +72,8 @@ class PairMerger:
         return count
 
     def _count_plain(self, text: str) -> int:
-        if odd(text):
-            return sum(self.count_piece(p) for p in self.odd_pieces(text))
-        return sum(map(self.cache.__getitem__, self.split(text)))
+        pieces = pieces_of(text)
+        return sum(map(self.cache.__getitem__, self.odd_pieces(text) if pieces is None else pieces))
 
     def odd_pieces(self, text: str) -> list[str]:
         """The library's own split, for texts with characters of rare blocks."""

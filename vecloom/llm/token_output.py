@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import scratch, text_batches, tokenizer_path
-from vecloom.llm.pieces import PieceCache, byte_symbols, odd, splitter
+from vecloom.llm.pieces import PieceCache, byte_symbols, pieces_of
 
 END_ID = 0
 SHARD = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -48,7 +48,6 @@ class LibraryEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.split = splitter()
         self.shown = str.maketrans({chr(b): c for c, b in byte_symbols().items()})
         self.cache = PieceCache(self.encode_piece, 1_000_000)
 
@@ -65,9 +64,8 @@ class LibraryEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if any(a in text for a in self.added) or odd(text):
-            return self.encode_whole(text)
-        return b"".join(map(self.cache.__getitem__, self.split(text)))
+        pieces = None if any(a in text for a in self.added) else pieces_of(text)
+        return self.encode_whole(text) if pieces is None else b"".join(map(self.cache.__getitem__, pieces))
 
 
 @cache
