@@ -111,6 +111,31 @@ def test_2_one_large_near_group(spark, monkeypatch, cells):
     assert by_row(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows), key=repr)
 
 
+@pytest.mark.parametrize("cells", [None, 8])
+def test_2_every_link(spark, monkeypatch, cells):
+    if cells:
+        for name, value in (("CELL_MEMBERS", cells), ("GROUP_MEMBERS", 3), ("CELL_PAIRS", 50)):
+            monkeypatch.setattr(ngram_join, name, value)
+    r, base = random.Random(6), [f"w{i}" for i in range(70)]
+    rows = [(0, None), (1, " "), (2, "two words"), (3, "two words")]
+    for i in range(4, 90):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(70)] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").split()
+        sets[i] = frozenset(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    members, links = ngram_join.ngram_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    members, links = members.collect(), links.collect()
+    of = {m["class_id"]: sets[m["doc_id"]] for m in members}
+    assert {m["doc_id"]: of[m["class_id"]] for m in members} == sets and len(of) == len(set(sets.values()))
+    want = {frozenset((a, b)) for a in set(sets.values()) for b in set(sets.values()) if a != b and a and b and 100 * len(a & b) >= 80 * len(a | b)}
+    assert {frozenset((of[x["class_a"]], of[x["class_b"]])) for x in links} == want and len(links) == len(want)
+    assert all(m["n_links"] == sum(sets[m["doc_id"]] in p for p in want) for m in members)
+
+
 def test_2_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(150)]

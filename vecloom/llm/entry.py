@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecloom.llm import line_dedup
+from vecloom.llm import decontaminate, line_dedup, ngram_join
 from vecloom.llm.bpe_codec import op10_bpe_codec
 from vecloom.llm.decontaminate import op6_decontaminate
 from vecloom.llm.hmm_lm import op9_hmm_lm
@@ -18,4 +18,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_output, op2_ngram_join, op3_media, op4_line_dedup, op5_token_count, op6_decontaminate, op7_toxicity, op8_pii, op9_hmm_lm, op10_bpe_codec)
 }
-ORACLES = {"op4_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op2_ngram_join": ngram_join.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_decontaminate": decontaminate.ORACLE}

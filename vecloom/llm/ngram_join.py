@@ -229,11 +229,12 @@ def _layout(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(node, pa.int64()), pa.array(ps, pa.list_(pa.int64()))], schema=CELLS)
 
 
-def _verify(percent: int):
-    """Rows in order of (cell, lists before sets) -> links, a spanning forest for each cell."""
+def _verify(percent: int, every: bool = False):
+    """Rows in order of (cell, lists before sets) -> links: every one, or a spanning forest for each cell."""
 
     def links(lists, sets):
         root: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
 
         def find(x):
             while (up := root.get(x, x)) != x:
@@ -248,13 +249,18 @@ def _verify(percent: int):
                     if len(u) > len(v):
                         u, v = v, u
                     least = needed(len(u), len(v), percent)
-                    if len(u) < least or (rx := find(x)) == (ry := find(y)):
+                    if len(u) < least or not every and find(x) == find(y):
                         continue
                     at = np.searchsorted(v, u)
                     at[at == len(v)] = 0
-                    if np.count_nonzero(v[at] == u) >= least:
+                    if np.count_nonzero(v[at] == u) < least:
+                        continue
+                    if every:
+                        found.append((min(x, y), max(x, y)))
+                    else:
+                        rx, ry = find(x), find(y)
                         root[max(rx, ry)] = min(rx, ry)
-        return [(x, find(x)) for x in root if find(x) != x]
+        return found if every else [(x, find(x)) for x in root if find(x) != x]
 
     def run(batches):
         now, lists, sets, out = None, {}, {}, []
@@ -310,8 +316,8 @@ def _whole_sets(words: int):
     return run
 
 
-def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+def _dealt(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Sets of all rows, classes of equal sets, the rows of verification cells, and the stored frames to drop."""
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rk"), text_bytes().alias("text"))
@@ -322,8 +328,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     # classes of equal sets, and groups of classes with equal prefix and size, in lots of bounded size
     classes = full.groupBy("h1", "h2", "n", "pk").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("doc_id"))
     lots = classes.groupBy("pk", "n").agg(F.ceil(F.count("*") / GROUP_MEMBERS).alias("lots")).where("lots > 1")
-    lots = stored(lots, "lots")
-    lots = maybe_broadcast(lots, lots.count(), 64)
+    lots_stored = stored(lots, "lots")
+    lots = maybe_broadcast(lots_stored, lots_stored.count(), 64)
     lot = F.coalesce(F.pmod("h1", "lots"), F.lit(0)).alias("lot")
     classes = stored(classes.join(lots, ["pk", "n"], "left").select("h1", "h2", "n", "pk", "rk", "doc_id", lot), "classes")
     groups = full.join(lots, ["pk", "n"], "left").select("pk", "n", "h1", "prefix", lot).groupBy("pk", "n", "lot").agg(F.min("h1").alias("gid"), F.first("prefix").alias("prefix"))
@@ -352,17 +358,38 @@ def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     sent = found.mapInArrow(_whole_sets(words), DEALT_DDL)
     asked = laid.where("partners is not null").select("cell", "node", "partners", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("array<long>").alias("shingles"))
     dealt = asked.unionByName(sent).repartition("cell").sortWithinPartitions("cell", F.col("h1").asc_nulls_first())
+    return sets, classes, dealt, [lots_stored, lists, home, laid, wanted, classes]
+
+
+def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    sets, classes, dealt, held = _dealt(docs, words, percent)
     label = components(dealt.mapInArrow(_verify(percent), "u long, v long"))
 
     # the least document of each component, for every row
     named = classes.join(label.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "n", "doc_id", F.coalesce("label", "h1").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = stored(named.join(least, "label").select("h1", "h2", "n", "component_id"), "components")
-    drop_stored(lots, lists, home, laid, wanted, classes)
+    drop_stored(*held)
     return sets.select("doc_id", "n", "h1", "h2").join(by_set, ["h1", "h2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link: members (doc_id, n_shingles, class_id, n_links) for each row of docs, and links (class_a, class_b).
+
+    Rows with equal sets are one class, named by a hash (null without words); the links are all pairs
+    of different classes that are similar enough. n_links counts the other classes that a row's class
+    links with.
+    """
+    sets, classes, dealt, held = _dealt(docs, words, percent)
+    links = stored(dealt.mapInArrow(_verify(percent, every=True), "class_a long, class_b long"), "links")
+    degree = links.select(F.explode(F.array("class_a", "class_b")).alias("h1")).groupBy("h1").agg(F.count("*").alias("n_links"))
+    drop_stored(*held)
+    members = sets.select("doc_id", "n", "h1").join(degree, "h1", "left")
+    return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("h1").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without near copies: each component keeps its least document.
 
@@ -374,3 +401,19 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+st as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as k from sh group by 1),
+rep as (select doc_id, n, min(doc_id) over (partition by k) as r from st),
+one as (select sh.doc_id, rep.n, sh.s from sh join rep on rep.doc_id = sh.doc_id and rep.r = rep.doc_id),
+met as (select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as both_n from one a join one b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+near as (select x, y from met where 100 * both_n >= 80 * (nx + ny - both_n)),
+edges as (select x, y from near union all select y, x from near),
+reach(x, y) as (select r, r from (select distinct r from rep) union select reach.x, edges.y from reach join edges on edges.x = reach.y),
+comp as (select x, min(y) as component_id from reach group by 1)
+select w.doc_id, cast(coalesce(rep.n, 0) as bigint) as n_shingles, coalesce(comp.component_id, w.doc_id) as component_id
+from w left join rep on rep.doc_id = w.doc_id left join comp on comp.x = rep.r
+"""
