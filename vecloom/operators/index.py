@@ -17,7 +17,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.operators.config import EmptyIndex, IndexConfig, InvalidDimension, check_dim
+from vecloom.operators.config import EmptyIndex, IndexConfig, InvalidDimension, InvalidVectorIndex, check_dim
+from vecloom.sources.vector_files import with_ids
 
 CODES_DDL = "vec_id long, code array<long>, residual_norm double, dot_o_bar_o double, residual array<float>, partition_id int"
 STORED_DDL = "vec_id long, code array<long>, residual_norm double, dot_o_bar_o double, sq8 binary, partition_id int"
@@ -177,18 +178,31 @@ def encode_sq8(codes: DataFrame, index: Index) -> DataFrame:
     return codes.mapInArrow(run, STORED_DDL)
 
 
+def after_ids(vectors: DataFrame) -> int:
+    """The id after the greatest one."""
+    most = vectors.agg(F.max("vec_id").alias("m")).first()["m"]
+    return 0 if most is None else most + 1
+
+
 def build(vectors: DataFrame, dim: int, config: IndexConfig, sample: int = 100_000) -> Index:
     """Train, assign, encode; index.codes is the encoded table."""
     index = train(vectors, dim, config, sample)
+    index.next_id = after_ids(vectors)
     codes = encode(assign(vectors, index), index)
     fit_sq8(codes, index)
     index.codes = encode_sq8(codes, index)
     return index
 
 
-def insert(index: Index, vectors: DataFrame) -> Index:
-    """Encode more vectors with the trained model and append them; nothing is retrained silently."""
+def insert(index: Index, vectors: DataFrame, order: str = "embedding") -> Index:
+    """Encode more vectors with the trained model and append them; nothing is retrained silently.
+
+    Vectors without a vec_id get dense ids from index.next_id, in the order of a column.
+    """
     validate(vectors, index.dim)
+    if "vec_id" not in vectors.columns:
+        vectors = with_ids(vectors, order, index.next_id)
+    index.next_id = max(index.next_id, after_ids(vectors))
     index.codes = index.codes.unionByName(encode_sq8(encode(assign(vectors, index), index), index))
     return index
 
@@ -214,21 +228,43 @@ def coarse(signs: np.ndarray, q: np.ndarray, config: IndexConfig) -> np.ndarray:
     return q @ signs.T
 
 
-def search(index: Index, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+def describe(index: Index) -> DataFrame:
+    """One row: dimension, partitions, vectors, and the least and the most vectors of a partition."""
+    sizes = index.codes.groupBy("partition_id").count()
+    p = len(index.centroids)
+    least = F.when(F.count("*") < p, F.lit(0)).otherwise(F.min("count")).cast("long")
+    return sizes.agg(F.lit(index.dim).alias("dimension"), F.lit(p).alias("partitions"), F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("vectors"), least.alias("least"), F.coalesce(F.max("count"), F.lit(0)).cast("long").alias("most"))
+
+
+def sq8_distance(index: Index, query: list[float], vec_id: int) -> float:
+    """Squared L2 distance of one stored vector from a query, by its 8-bit residual."""
+    row = index.codes.where(F.col("vec_id") == vec_id).select("partition_id", "sq8").first()
+    if row is None:
+        raise InvalidVectorIndex(f"no vector {vec_id}")
+    p = row["partition_id"]
+    found = index.centroids[p] + np.frombuffer(bytes(row["sq8"]), np.uint8) / index.scale[p] + index.low[p]
+    return float(((np.asarray(query, float) - found) ** 2).sum())
+
+
+def search(index: Index, queries: DataFrame, k: int, nprobe: int, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, rank, vec_id, partition_id, score) of each query (qid, embedding); one scan for all of them.
 
     The queries of one call are gathered on the driver to choose partitions; batch them accordingly.
+    A column k of queries, where it is not null, takes the place of k. Only vectors whose vec_id is in
+    `allowed` are scored, if that is given: filters come before the search.
     """
     spark, config = queries.sparkSession, index.config
     if nprobe < 1:
         raise ValueError("nprobe must be positive")
-    rows = queries.select("qid", "embedding").collect()
+    own = F.coalesce(F.col("k").cast("int"), F.lit(k)) if "k" in queries.columns else F.lit(k)
+    rows = queries.select("qid", "embedding", own.alias("k")).collect()
     if any(r["embedding"] is None or len(r["embedding"]) != index.dim for r in rows):
         raise InvalidDimension(f"queries must have dimension {index.dim}")
     ids, q = np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], float).reshape(len(rows), index.dim)
     parts = probed(index, q, nprobe)
     by_part = {int(p): np.nonzero((parts == p).any(1))[0] for p in np.unique(parts)}
-    keep = k * config.refine_k if config.refine_sq8 else k
+    asked_k = {r["qid"]: max(r["k"], 0) for r in rows}
+    keep = {qid: n * config.refine_k if config.refine_sq8 else n for qid, n in asked_k.items()}
     shared = spark.sparkContext.broadcast((ids, q, index.centroids, index.rotation, index.low, index.scale, by_part))
 
     def local(batches):
@@ -252,8 +288,8 @@ def search(index: Index, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
                     deq = np.frombuffer(b"".join(b.column(4).take(take).to_pylist()), np.uint8).reshape(len(vec), -1) / scale[p] + low[p]
                     fine = near - 2 * r @ deq.T + (deq**2).sum(1)
                 for i, own, exact in zip(asked.tolist(), s, fine):
-                    held.setdefault(i, []).append(best_of(keep, own, vec, np.full(len(vec), p, np.int32), exact))
-        out = [(i, best_of(keep, *map(np.concatenate, zip(*rows)))) for i, rows in held.items()]
+                    held.setdefault(i, []).append(best_of(keep[int(ids[i])], own, vec, np.full(len(vec), p, np.int32), exact))
+        out = [(i, best_of(keep[int(ids[i])], *map(np.concatenate, zip(*rows)))) for i, rows in held.items()]
         sizes = np.concatenate([[0], np.cumsum([len(x[0]) for _, x in out])]).astype(np.int32)
         columns = [np.concatenate(c) for c in zip(*(x for _, x in out))] if out else [np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0)]
         yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in out], pa.int64()), *(pa.ListArray.from_arrays(pa.array(sizes), pa.array(c)) for c in columns)], names=["qid", "coarse", "vec_id", "partition_id", "score"])
@@ -263,8 +299,8 @@ def search(index: Index, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         now, held = None, []
 
         def close():
-            s, vec, part, exact = best_of(keep, *map(np.concatenate, zip(*held)))
-            order = np.lexsort((vec, exact))[:k]
+            s, vec, part, exact = best_of(keep[now], *map(np.concatenate, zip(*held)))
+            order = np.lexsort((vec, exact))[:asked_k[now]]
             n = len(order)
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(vec[order]), pa.array(part[order]), pa.array(exact[order])], names=["qid", "rank", "vec_id", "partition_id", "score"])
 
@@ -283,7 +319,10 @@ def search(index: Index, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
             yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
     ddl = "qid long, coarse array<double>, vec_id array<long>, partition_id array<int>, score array<double>"
-    found = index.codes.where(F.col("partition_id").isin([*by_part])).mapInArrow(local, ddl)
+    codes = index.codes.where(F.col("partition_id").isin([*by_part]))
+    if allowed is not None:
+        codes = codes.join(allowed.select("vec_id"), "vec_id", "left_semi").select(*index.codes.columns)
+    found = codes.mapInArrow(local, ddl)
     return found.repartition("qid").sortWithinPartitions("qid").mapInArrow(final, "qid long, rank int, vec_id long, partition_id int, score double")
 
 

@@ -235,6 +235,26 @@ def _(spark, sf):
     return ann.assign(e, index).groupBy("partition_id").count()
 
 
+@query("ann_var_k", "select vec_id as qid, cast(1 + vec_id % 7 as bigint) as found from embeddings where vec_id % 50 = 0")
+def _(spark, sf):
+    """Each query's own k; all partitions are probed, so each finds that many."""
+    e, index = built(spark, sf)
+    return ann.search(index, by_fifty(e).withColumn("k", 1 + F.col("qid") % 7), 10, 16).groupBy("qid").agg(F.count("*").alias("found"))
+
+
+@query("ann_filtered", "select vec_id as qid, cast(least(10, (select count(*) from embeddings where label = 3)) as bigint) as found, cast(3 as bigint) as label from embeddings where vec_id % 50 = 0")
+def _(spark, sf):
+    """Predicates before the search: only rows with label 3 are scored."""
+    e, index = built(spark, sf)
+    found = ann.search(index, by_fifty(e), 10, 16, allowed=e.where("label = 3"))
+    return found.join(e.select("vec_id", "label"), "vec_id").groupBy("qid").agg(F.count("*").alias("found"), F.max("label").cast("long").alias("label"))
+
+
+@query("index_describe", "select cast(64 as bigint) as dimension, cast(16 as bigint) as partitions, count(*) as vectors from embeddings")
+def _(spark, sf):
+    return ann.describe(built(spark, sf)[1]).select(F.col("dimension").cast("long").alias("dimension"), F.col("partitions").cast("long").alias("partitions"), "vectors")
+
+
 @query("index_roundtrip")
 def _(spark, sf):
     e, index = built(spark, sf)
