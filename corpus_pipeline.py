@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vecloom.llm.bpe_codec import encode_decode
 from vecloom.llm.common import scratch
 from vecloom.llm.decontaminate import drop_contaminated
-from vecloom.llm.line_dedup import dedup_lines
+from vecloom.llm.line_dedup import SHORT_WORDS, WIDE_EDITS, dedup_lines
 from vecloom.llm.ngram_join import keep_one
 from vecloom.llm.toxicity import drop_toxic
 
@@ -18,8 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that occur earlier, within one edit."""
-    return dedup_lines(docs)
+    """Removes lines that occur earlier: long ones within three edits, shorter ones of three words as they are."""
+    return dedup_lines(docs, max_edits=WIDE_EDITS, short_words=SHORT_WORDS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from vecloom.llm import bpe_codec, decontaminate, hmm_lm, line_dedup, media, ngram_join, pii, token_count, token_output, toxicity
 from vecloom.llm.boosting import BoostedTrees
 from vecloom.llm.common import scratch
@@ -180,6 +181,15 @@ def test_4_line_dedup(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_4_wide(spark):
+    """The pipeline's stage: three edits in a long line, exact copies of short lines of three words."""
+    a = "the quick brown fox jumps over the lazy dog and then sleeps for a while"
+    rows = [(1, f"{a}\nAll rights reserved.\n}}"), (2, f"{a.replace('fox', 'cat')}\nAll rights reserved.\n}}"), (3, f"{a.replace(' the', '', 1)}\nAll rights reserved!"), (4, a.replace("the ", ""))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: "}", 3: f"{a.replace(' the', '', 1)}\nAll rights reserved!", 4: rows[3][1]}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_4_finds_every_near_line(spark, edits):
     def distance(a, b):

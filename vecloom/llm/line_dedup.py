@@ -1,7 +1,8 @@
 """Operator 4, line dedup: a segment-partition edit join, in DataFrame functions alone.
 
 A line of at least `min_chars` characters goes if an equal line, or one within `max_edits` edits,
-occurs earlier; order is by doc_id, then line number. The rest of the text stays as it is.
+occurs earlier; order is by doc_id, then line number. A shorter line goes only if `short_words` is
+given, it has so many words and an equal line occurs earlier. The rest of the text stays as it is.
 
 1. Equal lines meet by a 128-bit hash; each distinct line keeps its first place and its count.
 2. A distinct line is split into max_edits + 1 segments. A line within max_edits edits, and not
@@ -10,22 +11,26 @@ occurs earlier; order is by doc_id, then line number. The rest of the text stays
    compares counts of eight letters, of which an edit changes two by one at most; a hot segment so
    gives few pairs.
 3. Pairs are verified by a banded bit-parallel automaton: for each number of errors one word of
-   2 * max_edits + 1 bits, a bit a diagonal.
+   2 * max_edits + 1 bits, a bit a diagonal. For more edits than one, Spark's bounded distance does it.
 
 Defined cases: null text stays null and has no lines; lines shorter than min_chars, empty ones too,
-are left alone; rows with a null doc_id come last in the order; rows equal in doc_id and text are one
+are left alone but for `short_words`; rows with a null doc_id come last in the order; rows equal in doc_id and text are one
 document, and all of them stay with the same text; other columns pass through; a document may end
 with an empty text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import drop_stored, maybe_broadcast, stored
 
 MIN_CHARS, MAX_EDITS = 40, 1
+#: What the corpus pipeline takes: more edits, and exact copies of shorter lines of so many words.
+WIDE_EDITS, SHORT_WORDS = 3, 3
 LETTERS = "eantoirs"
 LAST = (1 << 63) - 1
 
@@ -59,18 +64,23 @@ def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return [_key(length, i, line, *_segment(length, i, edits)) for i in range(edits + 1)]
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of lines up to `edits` shorter that may match, at the places where a segment can be.
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, gap, move): where a line may hold a segment of one that is shorter by `gap`.
 
     A segment can have moved by as many places as edits fit before it and as many as fit behind it.
     """
-    out = []
-    for gap in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(length - gap, i, edits)
-            low, high = max(-i, gap - (edits - i)), min(i, gap + (edits - i))
-            out += [F.when((length > gap) & (start + move >= 0) & (start + move + size <= length), _key(length - gap, i, line, start + move, size)) for move in range(low, high + 1)]
-    return out
+    return [(i, gap, move) for gap in range(edits + 1) for i in range(edits + 1) for move in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)]
+
+
+def probe_key(line: Column, length: Column, i: int, gap: int | Column, move: int | Column, edits: int) -> tuple[Column, Column]:
+    """The key at that place, and whether the line has it."""
+    start, size = _segment(length - gap, i, edits)
+    return _key(length - gap, i, line, start + move, size), (length > gap) & (start + move >= 0) & (start + move + size <= length)
+
+
+def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
+    """Keys of lines up to `edits` shorter that may match, at the places where a segment can be."""
+    return [F.when(there, key) for key, there in (probe_key(line, length, *place, edits) for place in probe_places(edits))]
 
 
 def within_edits(ca: Column, cb: Column, edits: int) -> Column:
@@ -114,28 +124,48 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_words: int | None = None) -> DataFrame:
     """(doc, th, gone): for each document that loses lines, their numbers from 0."""
-    lines = _documents(docs).select("doc", "th", F.posexplode("lines").alias("pos", "line")).withColumn("length", F.char_length("line")).where(F.col("length") >= min_chars)
-    line, length = F.col("line"), F.col("length")
+    line, length = F.col("line"), F.char_length("line")
+    long = length >= min_chars
+    taken = long if short_words is None else F.when(long, True).otherwise(F.regexp_count(line, F.lit(r"\S+")) >= short_words)
+    lines = _documents(docs).select("doc", "th", F.posexplode("lines").alias("pos", "line")).where(taken)
     ids = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    index, probe = index_keys(line, length, max_edits), probe_keys(line, length, max_edits)
-    keys = [k.alias(f"i{n}") for n, k in enumerate(index)] + [k.alias(f"p{n}") for n, k in enumerate(probe)]
-    wide = stored(lines.select("doc", "th", "pos", *ids, letter_counts(line).alias("letters"), *keys), "lines")
-
-    of_line = ["h1", "h2", "letters", *[f"i{n}" for n in range(len(index))], *[f"p{n}" for n in range(len(probe))]]
-    firsts = stored(wide.groupBy(*of_line).agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("copies")), "firsts")
-
-    # near lines: segments meet probes
-    indexed = firsts.select(F.col("h1").alias("a"), F.col("letters").alias("la"), F.explode(F.array(*[f"i{n}" for n in range(len(index))])).alias("key"))
-    probes = firsts.select(F.col("h1").alias("b"), F.col("letters").alias("lb"), F.explode(F.array_distinct(F.array(*[f"p{n}" for n in range(len(probe))]))).alias("key")).where("key is not null")
     near = (F.col("i.key") == F.col("p.key")) & (F.col("a") != F.col("b")) & (letters_apart(F.col("la"), F.col("lb")) <= 2 * max_edits)
-    pairs = stored(indexed.alias("i").join(probes.alias("p"), near).select("a", "b").distinct(), "pairs")
+    first = [F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("copies")]
+
+    def met_in(indexed: DataFrame, probes: DataFrame) -> DataFrame:
+        """Near lines: segments meet probes."""
+        return stored(indexed.alias("i").join(probes.alias("p"), near).select("a", "b").distinct(), "pairs")
+
+    if max_edits <= 1 and short_words is None:  # few keys, smaller than their line, are computed before lines are grouped
+        index, probe = index_keys(line, length, max_edits), probe_keys(line, length, max_edits)
+        names = [f"i{n}" for n in range(len(index))], [f"p{n}" for n in range(len(probe))]
+        wide = stored(lines.select("doc", "th", "pos", *ids, letter_counts(line).alias("letters"), *[k.alias(n) for k, n in zip(index + probe, sum(names, []))]), "lines")
+        firsts = stored(wide.groupBy("h1", "h2", "letters", *sum(names, [])).agg(*first), "firsts")
+        indexed = firsts.select(F.col("h1").alias("a"), F.col("letters").alias("la"), F.explode(F.array(*names[0])).alias("key"))
+        probes = firsts.select(F.col("h1").alias("b"), F.col("letters").alias("lb"), F.explode(F.array_distinct(F.array(*names[1]))).alias("key")).where("key is not null")
+        parts = [met_in(indexed, probes)]
+        told = lines.select(ids[0], "line")
+    else:  # a distinct line is smaller than its keys; a join a segment bounds what lies in the shuffle at once
+        wide = stored(lines.select("doc", "th", "pos", *ids), "lines")
+        firsts = stored(lines.select("doc", "th", "pos", *ids, "line").groupBy("h1", "h2").agg(*first, F.max("line").alias("line")).withColumns({"length": length, "letters": letter_counts(line)}), "firsts")
+        told, parts, length = firsts.select("h1", "line"), [], F.col("length")
+        for i, own in enumerate(index_keys(line, length, max_edits)):
+            indexed = firsts.where(length >= min_chars).select(F.col("h1").alias("a"), F.col("letters").alias("la"), own.alias("key"))
+            # a row a place, then one key: all keys in one expression make a method too long to be compiled
+            places = F.array(*[F.struct(F.lit(gap).alias("gap"), F.lit(move).alias("move")) for n, gap, move in probe_places(max_edits) if n == i])
+            key, there = probe_key(line, length, i, F.col("at.gap"), F.col("at.move"), max_edits)
+            probes = firsts.where(length >= min_chars).select("h1", "letters", "line", "length", F.explode(places).alias("at")).where(there).select(F.col("h1").alias("b"), F.col("letters").alias("lb"), key.alias("key"))
+            parts.append(met_in(indexed, probes))
+            docs.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes a shuffle once its driver's objects are gone
+    pairs = reduce(DataFrame.union, parts).distinct() if len(parts) > 1 else parts[0]
     wanted = stored(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "wanted")
-    texts = lines.select(F.xxhash64("line").alias("h1"), "line").join(maybe_broadcast(wanted, wanted.count(), 16), "h1", "left_semi").groupBy("h1").agg(F.max("line").alias("line"))
-    texts = stored(texts.select("h1", F.split("line", "").alias("chars")), "texts")
+    texts = told.join(maybe_broadcast(wanted, wanted.count(), 16), "h1", "left_semi").groupBy("h1").agg(F.max("line").alias("line"))
+    automaton = max_edits <= 1  # of more edits its expressions, which are not compiled, cost more than the bounded distance
+    texts = stored(texts.select("h1", (F.split("line", "") if automaton else F.col("line")).alias("chars")), "texts")
     met = pairs.join(texts.select(F.col("h1").alias("a"), F.col("chars").alias("sa")), "a").join(texts.select(F.col("h1").alias("b"), F.col("chars").alias("sb")), "b")
-    links = met.where(within_edits(F.col("sa"), F.col("sb"), max_edits)).select("a", "b")
+    links = met.where(within_edits(F.col("sa"), F.col("sb"), max_edits) if automaton else F.levenshtein("sa", "sb", max_edits) >= 0).select("a", "b")
     place = firsts.select("h1", "first")
     later = links.join(place.select(F.col("h1").alias("a"), F.col("first").alias("fa")), "a").join(place.select(F.col("h1").alias("b"), F.col("first").alias("fb")), "b")
     late = later.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct().withColumn("late", F.lit(True))
@@ -145,13 +175,13 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     ruled = stored(ruled, "ruled")
     gone = wide.select("doc", "th", "pos", "h1", "h2").join(maybe_broadcast(ruled, ruled.count(), 64), ["h1", "h2"]).where("late or struct(doc, th, pos) != first")
     out = stored(gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone")), "gone")
-    drop_stored(wide, firsts, pairs, wanted, texts, late, ruled)
+    drop_stored(wide, firsts, *parts, wanted, texts, late, ruled)
     return out
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_words: int | None = None) -> DataFrame:
     """docs with a text column without the removed lines; n_chars, where there is one, follows."""
-    gone = removed_lines(docs, min_chars, max_edits)
+    gone = removed_lines(docs, min_chars, max_edits, short_words)
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
     keyed = docs.withColumns({"_vl_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_vl_th": F.xxhash64("text")})
     side = gone.select(F.col("doc").alias("_vl_doc"), F.col("th").alias("_vl_th"), F.col("gone").alias("_vl_gone"))
@@ -164,10 +194,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MA
     return out.select(*docs.columns)
 
 
+def _digests(done: DataFrame) -> DataFrame:
+    return done.select("doc_id", "n_lines", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    done = dedup_lines(docs)
-    return done.select("doc_id", "n_lines", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return _digests(dedup_lines(docs))
+
+
+def op4_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline's stage: lines within WIDE_EDITS edits, and exact copies of lines of SHORT_WORDS words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    return _digests(dedup_lines(docs, max_edits=WIDE_EDITS, short_words=SHORT_WORDS))
 
 
 ORACLE = """
