@@ -305,6 +305,22 @@ def test_8_base_patterns():
         assert pii.base_spans(t) == want
 
 
+@pytest.mark.parametrize("form", ["jane at example[dot]com", "jane at example [dot] com", "jane at example (dot) com", "jane at example.com", "jane[at]example.com"])
+def test_8_gate_follows_the_pattern(form):
+    text = f"please write to {form} today"
+    assert pii.WRITTEN.search(text) and [k for k, _, _ in pii.candidates(text)].count(1) == 1
+
+
+def test_8_trees_see_plain_prose():
+    text = "We met at noon. Then they looked at the river. Nobody was at home."
+    c = pii.candidates(text)
+    trees, cuts = pii.detector()
+    assert c and pii.choose([], c, trees.predict(np.array([pii.features(text, *x) for x in c], float)), cuts) == []
+    text = "please write to jane at example[dot]com today"
+    c = pii.candidates(text)
+    assert [k for k, _, _ in pii.choose([], c, trees.predict(np.array([pii.features(text, *x) for x in c], float)), cuts)] == ["x_email"]
+
+
 def test_8_pii(docs, none):
     got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
     assert tuple(got[9][f"n_{k}"] for k in pii.BASE) == (1, 1, 1, 1)

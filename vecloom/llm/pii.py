@@ -88,7 +88,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(index in ADDED, start, end) of everything that the generators propose."""
     out = [(0, *m.span()) for m in NUMBER.finditer(text)]
-    if "at]" in text or "(at)" in text or "{at}" in text or " dot " in text:
+    if "at]" in text or "(at)" in text or "{at}" in text or " at " in text:  # whatever WRITTEN accepts holds one of these
         out += [(1, *m.span()) for m in WRITTEN.finditer(text)]
     return out + [(2, *m.span()) for m in KEY.finditer(text)]
 
@@ -108,7 +108,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     return [
         kind, len(s), len(digits), len(digits) / max(1, len(s)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         luhn(digits) if 12 <= len(digits) <= 19 else 0, "(" in s, s.count("-") + s.count(" "), s.count(".") + s.count("/"), cue(before), any(w in FOR for w in after),
-        float(-(counts * np.log2(counts)).sum()), sum(c.isupper() for c in s) / max(1, len(s)), sum(c.islower() for c in s) / max(1, len(s)), bool(re.fullmatch(r"[0-9a-f]+", s)), "[at]" in s or "(at)" in s or "{at}" in s, text[max(0, start - 1):start] in ("=", ":", '"', "'"),
+        float(-(counts * np.log2(counts)).sum()), sum(c.isupper() for c in s) / max(1, len(s)), sum(c.islower() for c in s) / max(1, len(s)), bool(re.fullmatch(r"[0-9a-f]+", s)), "[at]" in s or "(at)" in s or "{at}" in s, "[dot]" in s or "(dot)" in s or "{dot}" in s, text[max(0, start - 1):start] in ("=", ":", '"', "'"),
     ]
 
 
@@ -116,6 +116,9 @@ def _example(r: random.Random) -> tuple[str, int]:
     """A text around one candidate, and whether that is personal data."""
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     w = lambda n: "".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(n))
+    v = lambda low, high: w(r.randrange(low, high))
+    # one sentence ends and the next begins, which WRITTEN takes for an address with a dot
+    prose = lambda: r.choice([str, str.capitalize])(v(1, 13)) + f" at {v(2, 15)}" + "".join(r.choice([". ", ".\n"]) + v(1, 15).capitalize() for _ in range(r.choice([1, 1, 2])))
     good = r.random() < 0.5
     kind = r.randrange(3)
     if kind == 0 and good:
@@ -123,7 +126,7 @@ def _example(r: random.Random) -> tuple[str, int]:
     elif kind == 0:
         s = r.choice([f"19{d(2)}-20{d(2)}", f"20{d(2)}/{d(2)}/{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", d(r.randrange(7, 22)), f"{d(3)} {d(3)} {d(3)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(1)}.{d(1)}.{d(2)}.{d(3)}.{d(2)}"])
     elif kind == 1:
-        s = r.choice([f"{w(5)} [at] {w(6)} [dot] com", f"{w(4)}.{w(5)} (at) {w(7)}.org", f"{w(6)} at {w(6)} dot net"]) if good else r.choice([f"{w(5)} at {w(6)}.{w(6)}", f"{w(3)} at {w(4)}. {w(5)}", f"{w(6)} at {w(5)} dot {w(8)}"])
+        s = r.choice([f"{w(5)} [at] {w(6)} [dot] com", f"{w(4)}.{w(5)} (at) {w(7)}.org", f"{w(6)} at {w(6)} dot net", f"{w(5)} at {w(6)}[dot]com", f"{w(5)} at {w(6)} (dot) org"]) if good else r.choice([f"{w(5)} at {w(6)}.{w(6)}", f"{w(3)} at {w(4)}. {w(5)}", f"{w(6)} at {w(5)} dot {w(8)}", f"{w(4)} at {d(2)}.{d(2)}", *[prose()] * 4])
     else:
         pick = lambda n, a: "".join(r.choice(a) for _ in range(n))
         full = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
