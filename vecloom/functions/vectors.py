@@ -49,6 +49,23 @@ def sq8_fixed_distance(query: Column, codes: Column, low: float = -1.0, high: fl
     return l2sq(query, F.transform(codes, lambda c: c * ((high - low) / 255) + low))
 
 
-def within(distance: Column, threshold: Column) -> Column:
-    """The distance, or null past the threshold (early termination of a sum of squares)."""
-    return F.when(distance <= threshold, distance)
+def sq8_dynamic(residual: Column, low: Column, scale: Column) -> Column:
+    """8-bit codes of a residual over ranges of its partition; what lies outside is clamped."""
+    return F.transform(residual, lambda r, d: F.floor(F.round(F.least(F.greatest((r.cast("double") - F.get(low, d)) * F.get(scale, d), F.lit(0.0)), F.lit(255.0)), 6)))
+
+
+def sq8_dynamic_distance(query: Column, centroid: Column, codes: Column, low: Column, scale: Column) -> Column:
+    """Squared L2 of a query from a vector that is kept as its centroid and an 8-bit residual."""
+    return l2sq(query, F.transform(codes, lambda c, d: F.get(centroid, d) + F.get(low, d) + c / F.get(scale, d)))
+
+
+def l2sq_within(a: Column, b: Column, threshold: Column | float, dim: int, block: int = 16) -> Column:
+    """Squared L2, or null past the threshold: a block of dimensions is summed only while the sum so far is within it."""
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+
+    def after(total: Column, at: int) -> Column:
+        if at >= dim:
+            return F.when(total <= limit, total)
+        return F.when(total <= limit, after(total + l2sq(F.slice(a, at + 1, block), F.slice(b, at + 1, block)), at + block))
+
+    return after(F.lit(0.0), 0)

@@ -29,6 +29,10 @@ class VersionNotFound(VectorError):
     pass
 
 
+class VersionConflict(VectorError):
+    pass
+
+
 class CorruptIndex(VectorError):
     pass
 

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
+from vecloom.operators import index as ann
+
+#: Rows beyond k that a ranking by rounded distances looks at.
+ROUNDING_ROWS = 16
 
 
 def exact_knn(base: DataFrame, query: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -20,11 +24,18 @@ def exact_knn(base: DataFrame, query: DataFrame, k: int, metric: str = "l2") ->
     return scored.orderBy("dist", "vec_id").limit(k)
 
 
-def batch_knn(base: DataFrame, queries: DataFrame, k: int | Column) -> DataFrame:
-    """queries (qid, q, ...) against all rows of base; k may be a column of queries."""
+def batch_knn(base: DataFrame, queries: DataFrame, k: int | Column, digits: int = 4) -> DataFrame:
+    """queries (qid, q, ...) against all rows of base, in blocks of bounded size; k may be a column of queries.
+
+    Distances are rounded, and equal ones go to the lower vec_id; as the engine ranks unrounded
+    distances, it is asked for some more rows than k, all of which it would have to tie.
+    """
+    own = k if isinstance(k, Column) else F.lit(k)
+    asked = queries.select("qid", F.col("q").alias("embedding"), (own + ROUNDING_ROWS).cast("int").alias("k"))
+    found = ann.exact_batch(base, asked, 0).withColumn("dist", F.round("dist", digits))
     w = Window.partitionBy("qid").orderBy("dist", "vec_id")
-    pairs = base.crossJoin(F.broadcast(queries)).withColumn("dist", F.round(V.l2sq(F.col("embedding"), F.col("q")), 4))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", F.col("rank").cast("long").alias("rank"), "vec_id", "dist")
+    kept = queries.select("qid", own.cast("int").alias("k"))
+    return found.withColumn("rank", F.row_number().over(w)).join(kept, "qid").where(F.col("rank") <= F.col("k")).select("qid", F.col("rank").cast("long").alias("rank"), "vec_id", F.when(F.col("dist") == 0, F.lit(0.0)).otherwise(F.col("dist")).alias("dist"))
 
 
 @dataclass(frozen=True)
@@ -47,18 +58,33 @@ class Predicate:
         return {"eq": c == self.value, "gt": c > self.value, "lt": c < self.value}[self.kind]
 
 
+def condition(where: Predicate | Column | str | None, columns: list[str]) -> Column:
+    """A predicate, a Column or SQL text (NOT, IN, LIKE and whatever Spark has) as a Column; nothing passes all."""
+    if where is None:
+        return F.lit(True)
+    if isinstance(where, Predicate):
+        return where.to_column(columns)
+    return F.expr(where) if isinstance(where, str) else where
+
+
 def bm25(docs: DataFrame, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """doc_id, score of the k best documents; only the query's terms are exploded and shuffled."""
     terms = sorted(set(re.findall("[a-z0-9]+", query.lower())))
-    toks = docs.select("doc_id", F.expr("regexp_extract_all(lower(text), '[a-z0-9]+', 0)").alias("toks")).select("doc_id", "toks", F.size("toks").alias("dl"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = toks.select("doc_id", "dl", F.explode(F.filter("toks", lambda t: t.isin(terms))).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # df has a row a query term, stats one row
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("doc_id").agg(F.round(F.sum(part), 4).alias("score"))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(k)
+    # one pass over the texts: a row a document keeps its length and its counts of the query's terms
+    toks = docs.select("doc_id", F.expr("regexp_extract_all(lower(text), '[a-z0-9]+', 0)").alias("toks"))
+    of = lambda word: F.size(F.filter("toks", lambda t: t == word))
+    tf = toks.select("doc_id", F.size("toks").alias("dl"), *[of(w).alias(f"t{i}") for i, w in enumerate(terms)])
+    stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
+    found = tf.where(" or ".join([f"t{i} > 0" for i in range(len(terms))]) or "false")
+
+    def part(i: int) -> Column:
+        idf = F.log(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+        t = F.col(f"t{i}")
+        return F.when(t > 0, idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(F.lit(0.0))
+
+    # stats is one row
+    score = sum([part(i) for i in range(len(terms))], F.lit(0.0))
+    return found.crossJoin(F.broadcast(stats)).select("doc_id", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def ranked(df: DataFrame, key: str, *order) -> DataFrame:
@@ -89,7 +115,7 @@ class QueryPlan:
 
     vector: DataFrame | None = None
     k: int = 10
-    where: Predicate | None = None
+    where: Predicate | Column | str | None = None
     text: str | None = None
     mode: str = "rrf"
     alpha: float = 0.5
@@ -97,12 +123,21 @@ class QueryPlan:
     def fetch(self) -> int:
         return 4 * self.k if self.k <= 64 else 256
 
-    def execute(self, base: DataFrame, docs: DataFrame) -> DataFrame | None:
-        """(id, score, source): distances for vectors alone, greater is better for text and hybrid."""
+    def execute(self, base: DataFrame, docs: DataFrame, index: ann.Index | None = None, nprobe: int = 8) -> DataFrame | None:
+        """(id, score, source): distances for vectors alone, greater is better for text and hybrid.
+
+        With an index the vector side is searched in it, among the rows that pass; else all are scored.
+        """
+        allowed = None
         if self.where is not None:
-            base = base.where(self.where.to_column(base.columns))
-            docs = docs.join(base.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi") if self.vector is not None else docs.where(self.where.to_column(docs.columns))
-        near = exact_knn(base, self.vector, self.fetch()) if self.vector is not None else None
+            base = allowed = base.where(condition(self.where, base.columns))
+            docs = docs.join(base.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi") if self.vector is not None else docs.where(condition(self.where, docs.columns))
+        near = None
+        if self.vector is not None and index is not None:
+            asked = self.vector.limit(1).select(F.lit(0).cast("long").alias("qid"), F.col("q").alias("embedding"))
+            near = ann.search(index, asked, self.fetch(), nprobe, allowed).select("vec_id", F.round("score", 4).alias("dist"))
+        elif self.vector is not None:
+            near = exact_knn(base, self.vector, self.fetch())
         found = bm25(docs, self.text, self.fetch()) if self.text is not None else None
         if near is None and found is None:
             return None

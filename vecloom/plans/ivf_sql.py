@@ -1,23 +1,19 @@
-"""The IVF operators as relational plans over long rows (vector, dimension, value).
+"""The semantics of the IVF operators in DuckDB SQL, over long rows (vector, dimension, value).
 
-They state the semantics that the Arrow kernels in operators.index compute faster, and both Spark
-and DuckDB run them. The partition is the table's label, the centroid its mean; the rotation is a
-sign-flipped Hadamard matrix that both engines can compute.
+These statements are the oracles of the catalogue's index queries, which run operators.index. The
+partition is the table's label, the centroid its mean; the rotation is a sign-flipped Hadamard matrix
+that both sides compute (catalog.hadamard).
 """
 
 from __future__ import annotations
 
 import re
 
-#: {LONG} and {N64} differ between engines.
-SPARK = {"LONG": "select vec_id, label, d, cast(v as double) as v from embeddings lateral view posexplode(embedding) t as d, v", "N64": "(select cast(id as int) as x from range(64))"}
-DUCKDB = {"LONG": "select vec_id, label, unnest(range(len(embedding))) as d, cast(unnest(embedding) as double) as v from embeddings", "N64": "(select cast(range as int) as x from range(64))"}
-
 STEPS = {
-    "e": "{LONG}",
+    "e": "select vec_id, label, unnest(range(len(embedding))) as d, cast(unnest(embedding) as double) as v from embeddings",
     "c": "select label, d, avg(v) as m from e group by label, d",
     "r": "select e.vec_id, e.label, e.d, e.v - c.m as r from e join c on e.label = c.label and e.d = c.d",
-    "rot": "select a.x as i, b.x as j, case when bit_count(a.x & b.x) % 2 = 0 then 0.125 else -0.125 end * case when (7 * b.x * b.x + 3 * b.x + 1) % 5 < 2 then -1 else 1 end as w from {N64} a cross join {N64} b",
+    "rot": "select a.x as i, b.x as j, case when bit_count(a.x & b.x) % 2 = 0 then 0.125 else -0.125 end * case when (7 * b.x * b.x + 3 * b.x + 1) % 5 < 2 then -1 else 1 end as w from (select cast(range as int) as x from range(64)) a cross join (select cast(range as int) as x from range(64)) b",
     "o": "select r.vec_id, r.label, rot.i, sum(rot.w * r.r) as o from r join rot on rot.j = r.d group by r.vec_id, r.label, rot.i",
     "rn": "select vec_id, sqrt(sum(r * r)) as rn from r group by vec_id",
     "x": "select o.vec_id, o.label, rn.rn, sum(abs(o.o)) / rn.rn as doo, sum(case when o.o >= 0 then 1 else 0 end) as positive from o join rn on o.vec_id = rn.vec_id group by o.vec_id, o.label, rn.rn",
@@ -39,7 +35,7 @@ STEPS = {
     "sup": "select cast(label as int) % 3 as super_id, d, avg(m) as m from c group by cast(label as int) % 3, d",
     "sdist": "select e.vec_id, sup.super_id, round(sum((e.v - sup.m) * (e.v - sup.m)), 6) as dist from e join sup on e.d = sup.d group by e.vec_id, sup.super_id",
     "near": "select vec_id, cand_label as part from (select *, row_number() over (partition by vec_id order by dist, cand_label) as rk from dist) where rk = 1",
-    "truth": "select qid, vec_id, rank from (select a.vec_id as qid, b.vec_id, row_number() over (partition by a.vec_id order by round(sum((a.v - b.v) * (a.v - b.v)), 6), b.vec_id) as rank from e a join e b on a.d = b.d where a.vec_id < 20 group by a.vec_id, b.vec_id) where rank <= 10",
+    "truth": "select qid, vec_id, rank from (select a.vec_id as qid, b.vec_id, row_number() over (partition by a.vec_id order by round(sum((a.v - b.v) * (a.v - b.v)), 6), b.vec_id) as rank from e a join e b on a.d = b.d where a.vec_id % 50 = 0 group by a.vec_id, b.vec_id) where rank <= 10",
 }
 
 ESTIMATE = "x.rn * x.rn + pr.qd - 2 * x.rn * ({}) / greatest(x.doo, 1e-8)"
@@ -63,6 +59,8 @@ FINAL: dict[str, tuple[str, dict]] = {
     "lloyd_step": (f"select near.part, e.d, {rounded('avg(e.v)')} as m from e join near on e.vec_id = near.vec_id group by near.part, e.d", {}),
     "ivf_balance": ("select min(n) as least, max(n) as most, cast(sum(n) as bigint) as total from (select part, count(*) as n from near group by part)", {}),
     "ivf_probe": ("select label, round(qd, 4) as qd from pr", {}),
+    "ivf_probe_two_level": ("""select label, round(qd, 4) as qd from (select label, round(sum(qr * qr), 6) as qd, row_number() over (order by round(sum(qr * qr), 6), label) as rk from qr where cast(label as int) % 3 in
+      (select super_id from (select super_id, row_number() over (order by round(sum((q.q - sup.m) * (q.q - sup.m)), 6), super_id) as rk from sup join q on q.d = sup.d group by super_id) where rk <= 2) group by label) where rk <= 2""", {}),
     "ivf_flat_search": ("select e.vec_id, round(sum((e.v - q.q) * (e.v - q.q)), 4) as dist from e join q on e.d = q.d where e.label in (select label from pr) group by e.vec_id order by round(sum((e.v - q.q) * (e.v - q.q)), 4), e.vec_id limit 10", {}),
     "rabitq_encode": ("select vec_id, cast(positive as bigint) as positive, round(rn, 4) as residual_norm, round(doo, 4) as dot_o_bar_o from x", {}),
     **{f"rabitq_search_{n}": _top(n) for n in SCORES},
@@ -70,12 +68,17 @@ FINAL: dict[str, tuple[str, dict]] = {
     "sq8_encode": ("select vec_id, cast(sum(code) as bigint) as code_sum from k group by vec_id", {}),
     "sq8_refine": ("select vec_id, dist from fine order by dist, vec_id", {"SCORE": SCORES["std"], "KEEP": "50"}),
     "two_stage_search": ("select vec_id, dist from fine order by dist, vec_id limit 10", {"SCORE": SCORES["fastscan"], "KEEP": "100"}),
+    "sq8_dynamic_distance": ("select k.vec_id, round(sum((qr.qr - (s.lo + k.code / s.sc)) * (qr.qr - (s.lo + k.code / s.sc))), 4) as dist from k join s on s.label = k.label and s.d = k.d join qr on qr.label = k.label and qr.d = k.d group by k.vec_id", {}),
+    "sq8_fixed_vs_dynamic_error": ("""select round(avg(abs(f.dist - t.dist)), 4) as fixed_error, round(avg(abs(y.dist - t.dist)), 4) as dynamic_error, count(*) as vectors from
+      (select e.vec_id, sum((e.v - q.q) * (e.v - q.q)) as dist from e join q on q.d = e.d group by e.vec_id) t
+      join (select e.vec_id, sum((q.q - (floor(round(least(greatest((e.v + 1) * 127.5, 0), 255), 6)) * (2 / 255.0::double) - 1)) * (q.q - (floor(round(least(greatest((e.v + 1) * 127.5, 0), 255), 6)) * (2 / 255.0::double) - 1))) as dist from e join q on q.d = e.d group by e.vec_id) f on f.vec_id = t.vec_id
+      join (select k.vec_id, sum((qr.qr - (s.lo + k.code / s.sc)) * (qr.qr - (s.lo + k.code / s.sc))) as dist from k join s on s.label = k.label and s.d = k.d join qr on qr.label = k.label and qr.d = k.d group by k.vec_id) y on y.vec_id = t.vec_id""", {}),
     "recall_at_k": ("""select round(avg(hit), 4) as recall from (select t.qid, t.vec_id, case when n.part = m.part then cast(1 as double) else cast(0 as double) end as hit from truth t join near n on n.vec_id = t.vec_id join near m on m.vec_id = t.qid)""", {}),
     "distance_quality": ("""select round(corr(score, d), 4) as pearson, round(corr(rs, rd), 4) as spearman, round(avg(abs(score - d)), 4) as mae, count(*) as pairs from (select score, d, rank() over (order by round(score, 6)) as rs, rank() over (order by round(d, 6)) as rd from
       (select sc.vec_id, sc.score, sum((e.v - q.q) * (e.v - q.q)) as d from sc join e on e.vec_id = sc.vec_id join q on q.d = e.d group by sc.vec_id, sc.score))""", {"SCORE": SCORES["std"]}),
-    "memory_per_vector": ("select round(cast(4 * 64 * 64 + count(distinct label) * 64 * 4 * 4 as double) / count(*) + 84, 4) as bytes_per_vector, round(256 / (cast(4 * 64 * 64 + count(distinct label) * 64 * 4 * 4 as double) / count(*) + 84), 4) as compression from embeddings", {}),
+    "memory_per_vector": ("select round(cast(4 * 64 * 64 + count(distinct label) * (64 * 4 * 4 + 4) + 4 * 64 * 3 as double) / count(*) + 84, 4) as bytes_per_vector, round(256 / (cast(4 * 64 * 64 + count(distinct label) * (64 * 4 * 4 + 4) + 4 * 64 * 3 as double) / count(*) + 84), 4) as compression from embeddings", {}),
     "index_stats": ("select cast(64 as bigint) as dimension, count(distinct label) as num_partitions, count(*) as total_vectors from embeddings", {}),
-    "export_metadata": ("select count(distinct label) as partitions, cast(max({LEN}) as bigint) as dimension, cast(sum(1) as bigint) as total from embeddings", {}),
+    "export_metadata": ("select count(distinct label) as partitions, cast(max(len(embedding)) as bigint) as dimension, cast(sum(1) as bigint) as total from embeddings", {}),
 }
 #: What each step needs, besides what it names.
 ORDER = list(STEPS)
@@ -89,10 +92,10 @@ def _needs(text: str, found: set[str]) -> set[str]:
     return found
 
 
-def statement(name: str, engine: dict) -> str:
+def statement(name: str) -> str:
     """The query's SQL: the steps it needs as common table expressions, then its last select."""
     final, extra = FINAL[name]
-    words = engine | {"LEN": "size(embedding)" if engine is SPARK else "len(embedding)", "SCORE": "", "KEEP": ""} | extra
+    words = {"SCORE": "", "KEEP": ""} | extra
     needed = _needs(final, set())
     ctes = ", ".join(f"{s} as ({STEPS[s].format(**words)})" for s in ORDER if s in needed)
     return (f"with {ctes} " if ctes else "") + final.format(**words)
