@@ -217,6 +217,55 @@ def test_4_finds_every_near_line(spark, edits):
         assert got[i] == ("" if gone else t)
 
 
+def edit_distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+@pytest.mark.parametrize("hot,levels", [(4, 3), (4, 1)])
+def test_4_templated_lines(spark, monkeypatch, hot, levels):
+    """Lines that share a half, families of near lines, and both: keys are made longer, nothing is lost."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "LEVELS", levels)
+    r = random.Random(hot + levels)
+    head = "this line starts as many others do, and ends "
+    lines = [head + "".join(r.choice("0123456789") for _ in range(24)) for _ in range(60)]
+    for i in range(120):
+        t = list(r.choice(lines[:40]) if i % 2 else head * 2)
+        for _ in range(r.randrange(6)):
+            k = r.randrange(len(t))
+            t[k:k + r.randrange(2)] = r.choice(["", "q", "é", "zz"])
+        lines.append("".join(t))
+    r.shuffle(lines)
+    docs = [(i, "\n".join(lines[3 * i:3 * i + 3])) for i in range(60)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(60):
+        kept = [t for k, t in enumerate(lines[3 * i:3 * i + 3], 3 * i) if not any(abs(len(u) - len(t)) <= 3 and edit_distance(u, t) <= 3 for u in lines[:k])]
+        assert got[i] == "\n".join(kept)
+
+
+def test_4_many_templated_lines(spark):
+    """More lines of one template than a key's pairs are made for, of which some are near."""
+    r, head = random.Random(7), "a template that all of these lines share before digits "
+    lines = [head + "".join(r.choice("0123456789") for _ in range(30)) for _ in range(3000)]
+    lines += [t[:60] + ("x" if t[60] != "x" else "y") + t[61:] for t in lines[:500]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").repartition(8)
+    kept = line_dedup.dedup_lines(df).where("text != ''").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(3000))
+
+
+def test_4_clashing_columns(spark):
+    names = ["late", "id", "key", "line", "gone", "doc", "th", "pos", "h1", "_vl_doc", "_vl_gone"]
+    df = spark.createDataFrame([(1, "a line of words " * 4, *names), (2, "a line of words " * 4, *names)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    got = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["a line of words " * 4, ""] and all(r[n] == n for r in got for n in names)
+
+
 def test_5_token_count(docs, none):
     lib = token_count.library(token_count.tokenizer_path("byte_bpe_50k.json"))
     want = [(i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in TEXTS]

@@ -1,36 +1,44 @@
 """Operator 4, line dedup: a segment-partition edit join, in DataFrame functions alone.
 
 A line of at least `min_chars` characters goes if an equal line, or one within `max_edits` edits,
-occurs earlier; order is by doc_id, then line number. A shorter line goes only if `short_words` is
-given, it has so many words and an equal line occurs earlier. The rest of the text stays as it is.
-
-1. Equal lines meet by a 128-bit hash; each distinct line keeps its first place and its count.
-2. A distinct line is split into max_edits + 1 segments. A line within max_edits edits, and not
-   shorter, holds one of them unchanged near the same place, so it probes the index of segments by
-   length, number and content, at the few places that the lengths allow. The join's condition also
-   compares counts of eight letters, of which an edit changes two by one at most; a hot segment so
-   gives few pairs.
-3. Pairs are verified by a banded bit-parallel automaton: for each number of errors one word of
-   2 * max_edits + 1 bits, a bit a diagonal. For more edits than one, Spark's bounded distance does it.
+occurs earlier; order is by doc_id, then line number. A shorter line goes only if it has at least
+`short_words` words and an equal line occurs earlier. The rest of the text stays as it is.
+
+1. Equal lines meet by a 128-bit hash; each distinct line keeps its first place and its count, and
+   gets a number that names it from there on.
+2. A distinct line holds max_edits + 1 segments of one size, the first half of them counted from its
+   start, the others from its end. Of two lines within max_edits edits, some segment i of the shorter
+   one lies unchanged in the longer one, with exactly i edits before it (or none, for i = 0) and at
+   most max_edits - i behind it: so a line probes the index of segments only i places around that
+   place. The size depends on the length, and changes so rarely that a line has one or two of them.
+3. Pairs that share a key are verified by a banded bit-parallel automaton: for each number of errors
+   a lane of 2 * max_edits + 1 bits, a bit a diagonal, all lanes in one word.
+4. A key that many lines share gives no pairs. Its lines are compared with the earliest of them, which
+   settles lines of one family; where unsettled ones remain, the key is made longer: what is left of
+   the line before or behind the segment, with the edits left for it, is cut into segments again. So
+   templated lines meet only where nearly all of them is equal. After LEVELS rounds what is still
+   shared by many is paired as it is, unsettled lines with all others.
 
 Defined cases: null text stays null and has no lines; lines shorter than min_chars, empty ones too,
 are left alone but for `short_words`; rows with a null doc_id come last in the order; rows equal in doc_id and text are one
-document, and all of them stay with the same text; other columns pass through; a document may end
-with an empty text.
+document, and all of them stay with the same text; other columns pass through, whatever their names;
+a document may end with an empty text.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import drop_stored, maybe_broadcast, stored
 
-MIN_CHARS, MAX_EDITS = 40, 1
-#: What the corpus pipeline takes: more edits, and exact copies of shorter lines of so many words.
-WIDE_EDITS, SHORT_WORDS = 3, 3
+MIN_CHARS, MAX_EDITS, SHORT_WORDS = 40, 3, 3
+#: Lines of a key up to which all its pairs are made, and rounds in which keys of more are made longer.
+HOT, LEVELS = 128, 6
+WORD = r"[^ \t\n\f\r\x0B]+"
 LETTERS = "eantoirs"
 LAST = (1 << 63) - 1
 
@@ -49,181 +57,192 @@ def letters_apart(a: Column, b: Column) -> Column:
     return sum(each[1:], each[0])
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of that length."""
-    size, longer = F.floor(length / (edits + 1)), F.pmod(length, F.lit(edits + 1))
-    short = F.lit(edits + 1) - longer
-    return i * size + F.greatest(F.lit(0), F.lit(i) - short), size + (F.lit(i) >= short).cast("int")
+def segment_size(length: Column, edits: int) -> Column:
+    """Characters of a segment: edits + 1 of them fit, and lengths that differ by up to `edits` have two sizes at most."""
+    step = 4 * (edits + 1)
+    return F.when(length >= 2 * step, 4 * F.floor(length / step)).otherwise(F.floor(F.greatest(length, F.lit(0)) / (edits + 1))).cast("int")
 
 
-def _key(length: Column, i: int, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, (start + 1).cast("int"), size.cast("int")))
+def segment_places(edits: int) -> list[tuple[int, bool, int]]:
+    """(segment, whether it is counted from the end, move): where a probe looks for each segment."""
+    first = [(i, False, move) for i in range(edits + 1) if 2 * i <= edits for move in range(-i, i + 1)]
+    return first + [(i, True, move) for i in range(edits + 1) if 2 * i > edits for move in range(i - edits, edits - i + 1)]
 
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [_key(length, i, line, *_segment(length, i, edits)) for i in range(edits + 1)]
+def segment_keys(rows: DataFrame, edits: int, least: int, deeper: bool) -> DataFrame:
+    """Rows (key, id, n, idx, lo, hi, line), in which line[lo:hi] is still to be matched with `edits` edits,
+    -> a row for each segment and place: longer key, idx (whether it is in the index) and what is left.
 
-
-def probe_places(edits: int) -> list[tuple[int, int, int]]:
-    """(segment, gap, move): where a line may hold a segment of one that is shorter by `gap`.
-
-    A segment can have moved by as many places as edits fit before it and as many as fit behind it.
+    In a whole line the probe is the longer one; in a part of it, either may be.
     """
-    return [(i, gap, move) for gap in range(edits + 1) for i in range(edits + 1) for move in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)]
-
-
-def probe_key(line: Column, length: Column, i: int, gap: int | Column, move: int | Column, edits: int) -> tuple[Column, Column]:
-    """The key at that place, and whether the line has it."""
-    start, size = _segment(length - gap, i, edits)
-    return _key(length - gap, i, line, start + move, size), (length > gap) & (start + move >= 0) & (start + move + size <= length)
-
-
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of lines up to `edits` shorter that may match, at the places where a segment can be."""
-    return [F.when(there, key) for key, there in (probe_key(line, length, *place, edits) for place in probe_places(edits))]
+    size = F.col("hi") - F.col("lo")
+    sizes = [segment_size(size, edits), segment_size(F.greatest(size - edits, F.lit(least)), edits)] + [segment_size(size + edits, edits)] * deeper
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(end).alias("end"), F.lit(move).alias("move")) for i, end, move in segment_places(edits)])
+    cut = rows.withColumn("s", F.explode(F.array_distinct(F.array(*sizes)))).withColumn("at", F.explode(places))
+    i, s, move = F.col("at.i"), F.col("s"), F.col("at.move")
+    start = F.when(F.col("at.end"), F.col("hi") - (edits + 1 - i) * s + move).otherwise(F.col("lo") + i * s + move)
+    there = cut.withColumn("start", start.cast("int")).where((F.col("start") >= F.col("lo")) & (F.col("start") + s <= F.col("hi")))
+    key = F.xxhash64("key", F.lit(edits), s, i, F.substring("line", F.col("start") + 1, s))
+    return there.select(
+        key.alias("key"), "id", "n", (F.col("idx") & (move == 0) & (s == segment_size(size, edits))).alias("idx"),
+        F.when(F.col("at.end"), F.col("lo")).otherwise(F.col("start") + s).alias("lo"), F.when(F.col("at.end"), F.col("start")).otherwise(F.col("hi")).alias("hi"),
+        F.when(F.col("at.end"), i).otherwise(edits - i).cast("tinyint").alias("left"))
 
 
 def within_edits(ca: Column, cb: Column, edits: int) -> Column:
-    """Whether two arrays of characters are within `edits` edits: a banded automaton, bit-parallel over diagonals.
+    """Whether two arrays of characters are within `edits` edits: a banded automaton, bit-parallel over
+    diagonals and numbers of errors.
 
-    The arrays have to be stored columns: an expression would be evaluated anew in every step.
-
-    After j characters of b, bit d + edits of word e says whether j + d characters of a match them
-    with e errors at most.
+    The arrays have to be columns: an expression would be evaluated anew in every step. After j
+    characters of b, bit d + edits of lane e says whether j + d characters of a match them with e
+    errors at most.
     """
-    na, nb, full = F.size(ca), F.size(cb), (1 << (2 * edits + 1)) - 1
+    if not 0 <= edits <= 4:
+        raise ValueError("the lanes of up to 4 edits fit one word")
+    na, nb, width, lanes = F.size(ca), F.size(cb), 2 * edits + 2, edits + 1
+    every = lambda bits: sum(bits << (width * e) for e in range(lanes))
+    full = every((1 << (2 * edits + 1)) - 1)
+    bit = lambda j, c, d: F.when(F.get(ca, j + d) == c, F.lit(1 << (d + edits)).cast("long")).otherwise(F.lit(0).cast("long"))
+    match = F.transform(cb, lambda c, j: reduce(Column.bitwiseOR, [bit(j, c, d) for d in range(-edits, edits + 1)]) * F.lit(every(1)).cast("long"))
+    wide = lambda x: F.lit(x).cast("long")
+    # before b: d characters of a match nothing with d errors
+    start = sum(sum(1 << (edits + d) for d in range(e + 1)) << (width * e) for e in range(lanes))
 
-    def deletions(words: list[Column]) -> list[Column]:
-        return [w if not e else w.bitwiseOR(F.shiftleft(words[e - 1], 1).bitwiseAND(full)) for e, w in enumerate(words)]
+    def step(old: Column, m: Column) -> Column:
+        up = F.shiftleft(old, width)  # one more error: a character of b is extra, or another
+        new = old.bitwiseAND(m).bitwiseOR(up).bitwiseOR(F.shiftright(up, 1)).bitwiseAND(wide(full))
+        for _ in range(edits):  # characters of a that b lacks, one more in each round
+            new = F.element_at(F.transform(F.array(new), lambda w: w.bitwiseOR(F.shiftleft(w, width + 1).bitwiseAND(wide(full)))), 1)
+        return new
 
-    # before b: d characters of a match nothing with d errors
-    start = [F.lit(sum(1 << (edits + d) for d in range(e + 1))) for e in range(edits + 1)]
-
-    def step(s: Column, j: Column) -> Column:
-        match = F.lit(0)
-        for d in range(-edits, edits + 1):
-            same = (j + d >= 1) & (j + d <= na) & (F.get(ca, j + d - 1) == F.get(cb, j - 1))
-            match = match.bitwiseOR(F.when(same, F.lit(1 << (d + edits))).otherwise(F.lit(0)))
-        words = []
-        for e in range(edits + 1):
-            w = s[f"r{e}"].bitwiseAND(match)
-            if e:
-                old = s[f"r{e - 1}"]
-                w = w.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(words[e - 1], 1).bitwiseAND(full))
-            words.append(w)
-        return F.struct(*[w.cast("int").alias(f"r{e}") for e, w in enumerate(words)])
-
-    end = F.aggregate(F.when(nb > 0, F.sequence(F.lit(1), nb)).otherwise(F.array().cast("array<int>")), F.struct(*[w.cast("int").alias(f"r{e}") for e, w in enumerate(start)]), step, lambda s: s[f"r{edits}"])
-    wanted = F.lit(0)
-    for d in range(-edits, edits + 1):
-        wanted = F.when(na - nb == d, 1 << (d + edits)).otherwise(wanted)
-    return end.bitwiseAND(wanted) != 0
+    end = F.aggregate(match, wide(start), step)
+    return (F.abs(na - nb) <= edits) & (F.call_function("shiftright", end, F.greatest(F.lit(0), na - nb + edits) + width * edits).bitwiseAND(wide(1)) == 1)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_words: int | None = None) -> DataFrame:
+def later_lines(firsts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+    """(id): of each pair (a, b) of lines that are within `edits` edits, the later one."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    texts = firsts.join(maybe_broadcast(ids, ids.count(), 16), "id", "left_semi").select("id", "first", "line", letter_counts(F.col("line")).alias("letters"))
+    side = lambda of: texts.select(F.col("id").alias(of), F.struct("first", "line", "letters").alias(f"t{of}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(letters_apart(F.col("ta.letters"), F.col("tb.letters")) <= 2 * edits)
+    chars = lambda line: F.transform(F.split(line, ""), lambda c: F.ascii(c))
+    later = F.when(F.col("ta.first") < F.col("tb.first"), F.col("b")).otherwise(F.col("a"))
+    # explode makes columns of the arrays
+    cut = met.select(later.alias("id"), F.explode(F.array(F.struct(chars(F.col("ta.line")).alias("a"), chars(F.col("tb.line")).alias("b")))).alias("c"))
+    cut = cut.select("id", F.col("c.a").alias("ca"), F.col("c.b").alias("cb"))
+    return stored(cut.where(within_edits(F.col("ca"), F.col("cb"), edits)).select("id").distinct(), "late")
+
+
+def near_lines(firsts: DataFrame, edits: int, least: int) -> DataFrame:
+    """(id): the lines of firsts (id, first, line; line null: not compared) that are within edits of an earlier one."""
+    text = firsts.where("line is not null").select("id", "line", F.char_length("line").alias("n"))
+    near = (F.col("b.n") - F.col("a.n")).between(0, edits) & (F.col("a.id") != F.col("b.id"))
+    pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
+    w, late, level, hot = Window.partitionBy("key"), [], 0, None
+    keys = segment_keys(text.select(F.lit(0).cast("long").alias("key"), "id", "n", F.lit(True).alias("idx"), F.lit(0).alias("lo"), F.col("n").alias("hi"), "line"), edits, least, False)
+    while True:
+        level += 1
+        met = keys.withColumns({"ni": F.count_if("idx").over(w), "nt": F.count("*").over(w)}).where("ni > 0 and nt > 1")
+        met = stored(met, "met")
+        cold = met.where(F.col("ni") * F.col("nt") <= HOT * HOT)
+        pairs = cold.where("idx").alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select(*pair)
+        old, hot = hot, stored(met.where(F.col("ni") * F.col("nt") > HOT * HOT).join(firsts.select("id", "first"), "id"), "hot")
+        members = hot.count()
+        if members:
+            pivots = hot.groupBy("key").agg(F.min_by("id", "first").alias("pivot"))
+            led = hot.join(maybe_broadcast(pivots, members // HOT, 32), "key").where("id != pivot")
+            pairs = pairs.union(led.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+        pairs = stored(pairs.distinct(), "pairs")
+        late.append(later_lines(firsts, pairs, edits))
+        drop_stored(met, pairs, *([old] if old is not None else []))
+        docs_gc(firsts.sparkSession)
+        if not members:
+            break
+        settled = reduce(DataFrame.union, late).distinct()
+        open_ = hot.join(maybe_broadcast(settled, sum(x.count() for x in late), 16), "id", "left_anti")
+        rest = stored(hot.join(open_.select("key").distinct(), "key", "left_semi").join(text.select("id", "line"), "id"), "rest")
+        if level == LEVELS or rest.isEmpty():
+            if level == LEVELS:  # what is left: unsettled lines with all that share their key
+                unsettled = rest.join(settled, "id", "left_anti")
+                both = unsettled.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (F.col("a.id") != F.col("b.id")))
+                pairs = stored(both.select(*pair).distinct(), "pairs")
+                late.append(later_lines(firsts, pairs, edits))
+                drop_stored(pairs)
+            drop_stored(rest, hot)
+            break
+        keys = reduce(DataFrame.union, [segment_keys(rest.where(F.col("left") == e), e, 0, True) for e in range(1, edits + 1)])
+    return reduce(DataFrame.union, late).distinct()
+
+
+def docs_gc(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files once its driver's objects are gone."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_words: int | None = SHORT_WORDS) -> DataFrame:
     """(doc, th, gone): for each document that loses lines, their numbers from 0."""
     line, length = F.col("line"), F.char_length("line")
     long = length >= min_chars
-    taken = long if short_words is None else F.when(long, True).otherwise(F.regexp_count(line, F.lit(r"\S+")) >= short_words)
+    taken = long if short_words is None else F.when(long, True).otherwise(F.regexp_count(line, F.lit(WORD)) >= short_words)
     lines = _documents(docs).select("doc", "th", F.posexplode("lines").alias("pos", "line")).where(taken)
     ids = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
-    near = (F.col("i.key") == F.col("p.key")) & (F.col("a") != F.col("b")) & (letters_apart(F.col("la"), F.col("lb")) <= 2 * max_edits)
-    first = [F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("copies")]
-
-    def met_in(indexed: DataFrame, probes: DataFrame) -> DataFrame:
-        """Near lines: segments meet probes."""
-        return stored(indexed.alias("i").join(probes.alias("p"), near).select("a", "b").distinct(), "pairs")
-
-    if max_edits <= 1 and short_words is None:  # few keys, smaller than their line, are computed before lines are grouped
-        index, probe = index_keys(line, length, max_edits), probe_keys(line, length, max_edits)
-        names = [f"i{n}" for n in range(len(index))], [f"p{n}" for n in range(len(probe))]
-        wide = stored(lines.select("doc", "th", "pos", *ids, letter_counts(line).alias("letters"), *[k.alias(n) for k, n in zip(index + probe, sum(names, []))]), "lines")
-        firsts = stored(wide.groupBy("h1", "h2", "letters", *sum(names, [])).agg(*first), "firsts")
-        indexed = firsts.select(F.col("h1").alias("a"), F.col("letters").alias("la"), F.explode(F.array(*names[0])).alias("key"))
-        probes = firsts.select(F.col("h1").alias("b"), F.col("letters").alias("lb"), F.explode(F.array_distinct(F.array(*names[1]))).alias("key")).where("key is not null")
-        parts = [met_in(indexed, probes)]
-        told = lines.select(ids[0], "line")
-    else:  # a distinct line is smaller than its keys; a join a segment bounds what lies in the shuffle at once
-        wide = stored(lines.select("doc", "th", "pos", *ids), "lines")
-        firsts = stored(lines.select("doc", "th", "pos", *ids, "line").groupBy("h1", "h2").agg(*first, F.max("line").alias("line")).withColumns({"length": length, "letters": letter_counts(line)}), "firsts")
-        told, parts, length = firsts.select("h1", "line"), [], F.col("length")
-        for i, own in enumerate(index_keys(line, length, max_edits)):
-            indexed = firsts.where(length >= min_chars).select(F.col("h1").alias("a"), F.col("letters").alias("la"), own.alias("key"))
-            # a row a place, then one key: all keys in one expression make a method too long to be compiled
-            places = F.array(*[F.struct(F.lit(gap).alias("gap"), F.lit(move).alias("move")) for n, gap, move in probe_places(max_edits) if n == i])
-            key, there = probe_key(line, length, i, F.col("at.gap"), F.col("at.move"), max_edits)
-            probes = firsts.where(length >= min_chars).select("h1", "letters", "line", "length", F.explode(places).alias("at")).where(there).select(F.col("h1").alias("b"), F.col("letters").alias("lb"), key.alias("key"))
-            parts.append(met_in(indexed, probes))
-            docs.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes a shuffle once its driver's objects are gone
-    pairs = reduce(DataFrame.union, parts).distinct() if len(parts) > 1 else parts[0]
-    wanted = stored(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "wanted")
-    texts = told.join(maybe_broadcast(wanted, wanted.count(), 16), "h1", "left_semi").groupBy("h1").agg(F.max("line").alias("line"))
-    automaton = max_edits <= 1  # of more edits its expressions, which are not compiled, cost more than the bounded distance
-    texts = stored(texts.select("h1", (F.split("line", "") if automaton else F.col("line")).alias("chars")), "texts")
-    met = pairs.join(texts.select(F.col("h1").alias("a"), F.col("chars").alias("sa")), "a").join(texts.select(F.col("h1").alias("b"), F.col("chars").alias("sb")), "b")
-    links = met.where(within_edits(F.col("sa"), F.col("sb"), max_edits) if automaton else F.levenshtein("sa", "sb", max_edits) >= 0).select("a", "b")
-    place = firsts.select("h1", "first")
-    later = links.join(place.select(F.col("h1").alias("a"), F.col("first").alias("fa")), "a").join(place.select(F.col("h1").alias("b"), F.col("first").alias("fb")), "b")
-    late = later.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h1")).distinct().withColumn("late", F.lit(True))
-    late = stored(late, "late")
-
-    ruled = firsts.join(maybe_broadcast(late, late.count(), 16), "h1", "left").select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"), "copies").where("copies > 1 or late").drop("copies")
+    wide = stored(lines.select("doc", "th", "pos", *ids), "lines")
+    first = F.min(F.struct("doc", "th", "pos", F.when(long & (F.lit(max_edits) > 0), line).alias("line"))).alias("first")
+    firsts = lines.select("doc", "th", "pos", *ids, "line").groupBy("h1", "h2").agg(first, F.count("*").alias("copies"))
+    # the number is written with its line, so it stays what it is
+    firsts = stored(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.struct("first.doc", "first.th", "first.pos").alias("first"), "copies", F.col("first.line").alias("line")), "firsts")
+    if max_edits > 0:
+        late = stored(near_lines(firsts, max_edits, min_chars).withColumn("late", F.lit(True)), "later")
+        ruled = firsts.join(maybe_broadcast(late, late.count(), 16), "id", "left")
+    else:
+        ruled = firsts.withColumn("late", F.lit(False))
+    ruled = ruled.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"), "copies").where("copies > 1 or late").drop("copies")
     ruled = stored(ruled, "ruled")
-    gone = wide.select("doc", "th", "pos", "h1", "h2").join(maybe_broadcast(ruled, ruled.count(), 64), ["h1", "h2"]).where("late or struct(doc, th, pos) != first")
+    gone = wide.join(maybe_broadcast(ruled, ruled.count(), 64), ["h1", "h2"]).where("late or struct(doc, th, pos) != first")
     out = stored(gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone")), "gone")
-    drop_stored(wide, firsts, *parts, wanted, texts, late, ruled)
+    drop_stored(wide, firsts, ruled)
     return out
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_words: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_words: int | None = SHORT_WORDS) -> DataFrame:
     """docs with a text column without the removed lines; n_chars, where there is one, follows."""
     gone = removed_lines(docs, min_chars, max_edits, short_words)
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
-    keyed = docs.withColumns({"_vl_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_vl_th": F.xxhash64("text")})
-    side = gone.select(F.col("doc").alias("_vl_doc"), F.col("th").alias("_vl_th"), F.col("gone").alias("_vl_gone"))
+    doc, th, lost = (f"{n}_{uuid.uuid4().hex}" for n in ("doc", "th", "gone"))  # names that no column of docs has
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), th: F.xxhash64("text")})
+    side = gone.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("gone").alias(lost))
     lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_vl_gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("_vl_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = keyed.join(maybe_broadcast(side, 1, size["rows"] * 56 + size["lines"] * 8), ["_vl_doc", "_vl_th"], "left").withColumn("text", text)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost)), lambda i: F.get(lines, i))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = keyed.join(maybe_broadcast(side, 1, size["rows"] * 56 + size["lines"] * 8), [doc, th], "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
-def _digests(done: DataFrame) -> DataFrame:
-    return done.select("doc_id", "n_lines", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
-
-
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    return _digests(dedup_lines(docs))
-
-
-def op4_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the pipeline's stage: lines within WIDE_EDITS edits, and exact copies of lines of SHORT_WORDS words."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
-    return _digests(dedup_lines(docs, max_edits=WIDE_EDITS, short_words=SHORT_WORDS))
+    done = dedup_lines(docs)
+    return done.select("doc_id", "n_lines", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-ORACLE = """
+#: DuckDB's levenshtein counts bytes, so letters of two bytes are first put as control characters, one for one.
+ORACLE = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
-big as (select * from l where length(line) >= 40),
+big as (select * from l where length(line) >= 40 or len(regexp_extract_all(line, '[^ \t\n\f\r\x0B]+')) >= 3),
 firsts as (select line, length(line) as n, min((doc_id, pos)) as f, count(*) as copies from big group by 1, 2),
-cut as (select *, left(line, n // 2) as head, right(line, n - n // 2) as tail from firsts),
-met as (
-  select a.line as la, b.line as lb, a.f as fa, b.f as fb, a.n as na, b.n as nb from cut a join firsts b on b.n = a.n and left(b.line, a.n // 2) = a.head and a.line <> b.line
-  union select a.line, b.line, a.f, b.f, a.n, b.n from cut a join firsts b on b.n = a.n and right(b.line, a.n - a.n // 2) = a.tail and a.line <> b.line
-  union select a.line, b.line, a.f, b.f, a.n, b.n from cut a join firsts b on b.n = a.n + 1 and left(b.line, a.n // 2) = a.head
-  union select a.line, b.line, a.f, b.f, a.n, b.n from cut a join firsts b on b.n = a.n + 1 and right(b.line, a.n - a.n // 2) = a.tail),
-near as (select * from met where len(list_filter(range(0, na + 1), lambda k: left(la, k) = left(lb, k) and (case when na = nb then substr(la, k + 2) = substr(lb, k + 2) else substr(la, k + 1) = substr(lb, k + 2) end))) > 0),
+long as (select *, n - length(replace(line, 'e', '')) as e, n - length(replace(line, 'a', '')) as a, n - length(replace(line, 'n', '')) as m, n - length(replace(line, 't', '')) as t, n - length(replace(line, ' ', '')) as s, translate(line, 'éóèñüçäöêßíÉÈÑÓÇÊÜÖÄÍáàâîôûëïúÁÀ', (select string_agg(chr(i), '' order by i) from (select unnest([1,2,3,4,5,6,7,8,14,15,16,17,18,19,20,21,22,23,24,25,26,27,28,29,30,31,127,91,93,94,95,96]) as i))) as short from firsts where n >= 40),
+-- an edit changes two counts by one at most
+near as (select a.line as la, b.line as lb, a.f as fa, b.f as fb from long a join long b on b.n between a.n and a.n + 3 and (a.n < b.n or a.line < b.line)
+  where abs(a.e - b.e) + abs(a.a - b.a) + abs(a.m - b.m) + abs(a.t - b.t) + abs(a.s - b.s) <= 6 and levenshtein(a.short, b.short) <= 3),
 late as (select distinct case when fa < fb then lb else la end as line from near),
 kept as (select l.doc_id, l.pos, l.line from l left join firsts f on l.line = f.line left join late t on l.line = t.line
   where f.line is null or (t.line is null and (l.doc_id, l.pos) = f.f)),
 again as (select doc_id, string_agg(line, chr(10) order by pos) as text from kept group by 1)
-select d.doc_id, cast(len(string_split(d.text, chr(10))) as bigint) as n_lines, cast(length(coalesce(a.text, '')) as bigint) as kept_chars, sha256(coalesce(a.text, '')) as kept_sha256
+select d.doc_id, cast(len(string_split(d.text, chr(10))) as bigint) as n_lines, case when d.text is not null then cast(length(coalesce(a.text, '')) as bigint) end as kept_chars, case when d.text is not null then sha256(coalesce(a.text, '')) end as kept_sha256
 from documents d left join again a on d.doc_id = a.doc_id
 """
