@@ -249,8 +249,9 @@ def test_4_templated_lines(spark, monkeypatch, hot, levels):
         assert got[i] == "\n".join(kept)
 
 
-def test_4_many_templated_lines(spark):
+def test_4_many_templated_lines(spark, monkeypatch):
     """More lines of one template than a key's pairs are made for, of which some are near."""
+    monkeypatch.setattr(line_dedup, "HOT", 200)
     r, head = random.Random(7), "a template that all of these lines share before digits "
     lines = [head + "".join(r.choice("0123456789") for _ in range(30)) for _ in range(3000)]
     lines += [t[:60] + ("x" if t[60] != "x" else "y") + t[61:] for t in lines[:500]]

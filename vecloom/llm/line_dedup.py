@@ -37,7 +37,7 @@ from vecloom.llm.common import drop_stored, maybe_broadcast, stored
 
 MIN_CHARS, MAX_EDITS, SHORT_WORDS = 40, 3, 3
 #: Lines of a key up to which all its pairs are made, and rounds in which keys of more are made longer.
-HOT, LEVELS = 128, 6
+HOT, LEVELS = 2048, 4
 WORD = r"[^ \t\n\f\r\x0B]+"
 LETTERS = "eantoirs"
 LAST = (1 << 63) - 1
@@ -57,6 +57,23 @@ def letters_apart(a: Column, b: Column) -> Column:
     return sum(each[1:], each[0])
 
 
+def pair_parities(line: Column) -> list[Column]:
+    """128 parities, in two longs: whether the pairs of neighbouring characters that fall into a slot are odd in number."""
+    slots = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(line) - 1)), lambda p: F.xxhash64(F.substring(line, p, F.lit(2))).bitwiseAND(127).cast("int"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def lane(k: int) -> Column:
+        return F.aggregate("slots", none, lambda acc, b: F.when(F.shiftright(b, 6) == k, acc.bitwiseXOR(F.call_function("shiftleft", one, b.bitwiseAND(63)))).otherwise(acc))
+
+    return [slots.alias("slots"), lane(0), lane(1)]
+
+
+def may_be_near(a: str, b: str, edits: int) -> Column:
+    """What lines within `edits` edits fulfil: an edit changes two letter counts by one, and four pairs, at most."""
+    apart = F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))) + F.bit_count(F.col(f"{a}.p1").bitwiseXOR(F.col(f"{b}.p1")))
+    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= edits) & (apart <= 4 * edits) & (letters_apart(F.col(f"{a}.letters"), F.col(f"{b}.letters")) <= 2 * edits)
+
+
 def segment_size(length: Column, edits: int) -> Column:
     """Characters of a segment: edits + 1 of them fit, and lengths that differ by up to `edits` have two sizes at most."""
     step = 4 * (edits + 1)
@@ -123,12 +140,10 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
 
 
-def later_lines(firsts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+def later_lines(texts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     """(id): of each pair (a, b) of lines that are within `edits` edits, the later one."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = firsts.join(maybe_broadcast(ids, ids.count(), 16), "id", "left_semi").select("id", "first", "line", letter_counts(F.col("line")).alias("letters"))
-    side = lambda of: texts.select(F.col("id").alias(of), F.struct("first", "line", "letters").alias(f"t{of}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(letters_apart(F.col("ta.letters"), F.col("tb.letters")) <= 2 * edits)
+    side = lambda of: texts.select(F.col("id").alias(of), F.struct("first", "line").alias(f"t{of}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
     chars = lambda line: F.transform(F.split(line, ""), lambda c: F.ascii(c))
     later = F.when(F.col("ta.first") < F.col("tb.first"), F.col("b")).otherwise(F.col("a"))
     # explode makes columns of the arrays
@@ -140,41 +155,49 @@ def later_lines(firsts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
 def near_lines(firsts: DataFrame, edits: int, least: int) -> DataFrame:
     """(id): the lines of firsts (id, first, line; line null: not compared) that are within edits of an earlier one."""
     text = firsts.where("line is not null").select("id", "line", F.char_length("line").alias("n"))
-    near = (F.col("b.n") - F.col("a.n")).between(0, edits) & (F.col("a.id") != F.col("b.id"))
     pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
-    w, late, level, hot = Window.partitionBy("key"), [], 0, None
+    near = (F.col("a.id") != F.col("b.id")) & may_be_near("a", "b", edits)
+    w, late, level, hot, texts = Window.partitionBy("key"), [], 0, None, None
     keys = segment_keys(text.select(F.lit(0).cast("long").alias("key"), "id", "n", F.lit(True).alias("idx"), F.lit(0).alias("lo"), F.col("n").alias("hi"), "line"), edits, least, False)
     while True:
         level += 1
-        met = keys.withColumns({"ni": F.count_if("idx").over(w), "nt": F.count("*").over(w)}).where("ni > 0 and nt > 1")
-        met = stored(met, "met")
-        cold = met.where(F.col("ni") * F.col("nt") <= HOT * HOT)
+        met = stored(keys.withColumns({"ni": F.count_if("idx").over(w), "nt": F.count("*").over(w)}).where("ni > 0 and nt > 1"), "met")
+        if texts is None:  # the lines that share a segment with another one
+            ids = met.select("id").distinct()
+            slots, p0, p1 = pair_parities(F.col("line"))
+            texts = firsts.join(ids, "id", "left_semi").select("id", "first", "line", letter_counts(F.col("line")).alias("letters"), F.explode(F.array(F.struct(slots))).alias("s")).select("*", F.col("s.slots").alias("slots"))
+            texts = stored(texts.select("id", "first", "line", "letters", p0.alias("p0"), p1.alias("p1")), "texts")
+        met_ = met.join(texts.select("id", "first", "letters", "p0", "p1"), "id")
+        is_hot = F.col("ni") * F.col("nt") > HOT * HOT
+        members = met.where(is_hot).count()
+        cold = met_.where(~is_hot)
         pairs = cold.where("idx").alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select(*pair)
-        old, hot = hot, stored(met.where(F.col("ni") * F.col("nt") > HOT * HOT).join(firsts.select("id", "first"), "id"), "hot")
-        members = hot.count()
         if members:
-            pivots = hot.groupBy("key").agg(F.min_by("id", "first").alias("pivot"))
-            led = hot.join(maybe_broadcast(pivots, members // HOT, 32), "key").where("id != pivot")
-            pairs = pairs.union(led.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+            hot = stored(met_.where(is_hot), "hot")
+            pivots = hot.groupBy("key").agg(F.min_by(F.struct("id", "n", "letters", "p0", "p1"), "first").alias("b"))
+            led = hot.alias("a").join(maybe_broadcast(pivots, members // HOT, 64), F.col("a.key") == pivots["key"]).where(near)
+            pairs = pairs.union(led.select(*pair))
         pairs = stored(pairs.distinct(), "pairs")
-        late.append(later_lines(firsts, pairs, edits))
-        drop_stored(met, pairs, *([old] if old is not None else []))
+        late.append(later_lines(texts, pairs, edits))
+        drop_stored(met, pairs)
         docs_gc(firsts.sparkSession)
         if not members:
             break
         settled = reduce(DataFrame.union, late).distinct()
         open_ = hot.join(maybe_broadcast(settled, sum(x.count() for x in late), 16), "id", "left_anti")
-        rest = stored(hot.join(open_.select("key").distinct(), "key", "left_semi").join(text.select("id", "line"), "id"), "rest")
+        rest = stored(hot.join(open_.select("key").distinct(), "key", "left_semi").join(texts.select("id", "line"), "id"), "rest")
+        drop_stored(hot)
+        if level == LEVELS:  # what is left: unsettled lines with all that share their key
+            unsettled = rest.join(settled, "id", "left_anti")
+            both = unsettled.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & near)
+            pairs = stored(both.select(*pair).distinct(), "pairs")
+            late.append(later_lines(texts, pairs, edits))
+            drop_stored(pairs)
         if level == LEVELS or rest.isEmpty():
-            if level == LEVELS:  # what is left: unsettled lines with all that share their key
-                unsettled = rest.join(settled, "id", "left_anti")
-                both = unsettled.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.abs(F.col("a.n") - F.col("b.n")) <= edits) & (F.col("a.id") != F.col("b.id")))
-                pairs = stored(both.select(*pair).distinct(), "pairs")
-                late.append(later_lines(firsts, pairs, edits))
-                drop_stored(pairs)
-            drop_stored(rest, hot)
+            drop_stored(rest)
             break
         keys = reduce(DataFrame.union, [segment_keys(rest.where(F.col("left") == e), e, 0, True) for e in range(1, edits + 1)])
+    drop_stored(texts)
     return reduce(DataFrame.union, late).distinct()
 
 
