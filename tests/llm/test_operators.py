@@ -421,6 +421,63 @@ def test_9_forward_is_exact():
         assert m.log10(long, np.array([400]))[0] >= before - 1e-9
 
 
+def brute_counts(m, s):
+    """Expected counts of one sequence from unscaled forward and backward vectors."""
+    a, b = [m.start * m.emit[:, s[0]]], [np.ones(len(m.start))]
+    for o in s[1:]:
+        a.append((a[-1] @ m.move) * m.emit[:, o])
+    for o in s[:0:-1]:
+        b.insert(0, m.move @ (m.emit[:, o] * b[0]))
+    total = a[-1].sum()
+    moves = sum(np.outer(a[t], m.emit[:, s[t + 1]] * b[t + 1]) * m.move for t in range(len(s) - 1)) / total if len(s) > 1 else 0
+    emits = np.zeros_like(m.emit)
+    for t, o in enumerate(s):
+        emits[:, o] += a[t] * b[t] / total
+    return a[0] * b[0] / total, moves, emits
+
+
+@pytest.mark.parametrize("segment", [1, 2, 5, 7, 1000])
+def test_9_counts_are_those_of_whole_sequences(segment):
+    r = np.random.default_rng(5)
+    m = hmm_lm.Model.initial(3, r.random(6), 2)
+    seqs = [r.integers(0, 6, n).astype(np.uint32) for n in (1, 2, 5, 6, 7, 14, 31, 120)]
+    got = m.expected(np.concatenate(seqs), np.array([len(s) for s in seqs]), segment)
+    for g, w in zip(got, (sum(x) for x in zip(*(brute_counts(m, s) for s in seqs)))):
+        assert np.allclose(g, w)
+
+
+def test_9_whole_query_equals_brute_force(spark):
+    """Scores of the query against a plain recursion, sequence by sequence, with frequent words and a text of 1,200 tokens."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["the"] * 20 + ["of"] * 10 + WORDS[:30]) for _ in range(r.randrange(0, 60)))) for i in range(60)] + [(60, " ".join(r.choice(WORDS) for _ in range(1200)))]
+    got = {x["doc_id"]: x for x in hmm_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=3, passes=2).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    toks = {i: [*t.encode().lower().split(), None] for i, t in rows}
+    c = Counter(w for i, t in toks.items() if not held(i) for w in t)
+    n = sum(c.values())
+    frequent = sorted((int(hmm_lm.hashes_of([w])[0]), w) for w in c if w is not None and c[w] >= 4 * n**0.5)
+    assert frequent
+    number = {w: hmm_lm.CLASSES + k for k, (_, w) in enumerate(frequent)}
+    cls = lambda w: 0 if w is None else number.get(w) or hmm_lm.class_of(w)
+    members = defaultdict(list)
+    for w in c:
+        members[cls(w)].append(w)
+    shares = np.zeros(hmm_lm.CLASSES + len(number))
+    for k, ws in members.items():
+        shares[k] = sum(c[w] for w in ws) / n
+    m = hmm_lm.Model.initial(3, shares)
+    for _ in range(2):
+        m = m.next(*(sum(x) for x in zip(*(m.expected(np.array([cls(w) for w in t], np.uint32), np.array([len(t)])) for i, t in toks.items() if not held(i)))))
+    for i, t in toks.items():
+        a, total = None, 0.0
+        for w in t:
+            k = cls(w)
+            a = (m.start if a is None else a @ m.move) * m.emit[:, k]
+            word = 1.0 if k == 0 or k >= hmm_lm.CLASSES else (c[w] + 1) / (sum(c[x] for x in members[k]) + len(members[k]) + 1)
+            total, a = total + np.log10(a.sum() * word), a / a.sum()
+        assert got[i]["score"] == pytest.approx(total, rel=1e-9)
+
+
 def test_10_bpe(docs, none):
     import base64
 

@@ -1,15 +1,18 @@
-"""Operator 9, LM scoring with a hidden Markov model over word classes.
-
-A text is its words and one end token. Each token belongs to one of CLASSES classes, by its last
-letters; latent states emit classes, and a class emits its words by add-one counts over all training
-tokens, with one share for the unseen. So P(text) is the sum over state paths of the product of
-transition, class and word probabilities, and the scaled forward recursion gives it exactly.
-
-States are trained by Baum-Welch: each pass runs over all training tokens, a task returns expected
-counts that are summed by Spark, and the model, of fixed size, goes back by broadcast. Word counts
+"""Operator 9, LM scoring with a hidden Markov model over words and word classes.
+
+A text is its words and one end token. A frequent word, one with 4 * sqrt(N) or more of the N training
+tokens, is a class of its own, so that latent states emit it directly; their number grows with the
+corpus, to sqrt(N) / 4 at most. Other words back off to classes by their last letters, and such a
+class emits its words by add-one counts over all training tokens, with one share for the unseen. So
+P(text) is the sum over state paths of the product of transition, class and word probabilities, and
+the scaled forward recursion gives it exactly.
+
+States are trained by Baum-Welch over whole texts: each pass runs over all training tokens, a task
+returns expected counts that are summed by Spark, and the model goes back by broadcast. Long texts are
+worked on in segments side by side, joined exactly by transfer matrices (Model.expected). Word counts
 grow with the corpus and are never gathered: a chunk of documents has a dictionary of local token
-numbers, the dictionaries join the counts by a hash of the word, and each chunk meets its own
-dictionary again.
+numbers, the dictionaries join the counts by a hash of the word, and each chunk meets the counts of
+its own dictionary again.
 
 Defined cases: null, empty or blank text is the end token alone; a null doc_id is scored and is
 learned from; repeated rows repeat; other columns are ignored; without training tokens every count
@@ -19,6 +22,7 @@ is 0.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,72 +34,101 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import drop_stored, stored, text_batches, text_bytes
 
 STATES, CLASSES, PASSES = 8, 1024, 4
-CHUNK_TOKENS, SEGMENT, LANES = 4_000_000, 128, 2048
+CHUNK_TOKENS = 4_000_000
+#: Tokens of a segment, of a block whose forward vectors are held at once, and of texts gathered for a pass.
+SEGMENT, BLOCK_TOKENS, POOL_TOKENS = 1024, 1 << 17, 1 << 20
+#: Distinct words that a task counts before it sends them.
+WORDS_HELD = 500_000
 END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(b"end", 1)).view(np.int64))
 
 
 def class_of(word: bytes) -> int:
-    """Class 0 is the end token's; words have 1 to CLASSES - 1."""
+    """Class 0 is the end token's; words that have no class of their own have 1 to CLASSES - 1."""
     return 1 + zlib.crc32(word[-3:]) % (CLASSES - 1)
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def _count(batches):
+    """Words of training texts with their counts; a task sends a word once, or once in WORDS_HELD distinct ones."""
+    counts: Counter = Counter()
+    ends = 0
+
+    def send():
+        words = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes_of(words), END_HASH)), pa.array([*map(class_of, words), 0], pa.int32()), pa.array([*counts.values(), ends], pa.int64())], names=["h", "cls", "c"])
+
+    for b in batches:
+        for text in b.column(0):
+            counts.update(text.as_py().lower().split())
+            ends += 1
+        if len(counts) >= WORDS_HELD:
+            yield from send()
+            counts.clear()
+            ends = 0
+    if ends:
+        yield from send()
+
+
 def pack(numbers: np.ndarray) -> bytes:
     return zlib.compress(numbers.tobytes(), 1)
 
 
-# rows of documents have doc_id .. classes; rows of a chunk's dictionary have slot, h, cls and c
-CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("tokens", pa.binary()), ("classes", pa.binary()), ("slot", pa.int32()), ("h", pa.int64()), ("cls", pa.int32()), ("c", pa.int64())])
-CHUNKS_DDL = "chunk long, doc_id long, held_out boolean, n long, tokens binary, classes binary, slot int, h long, cls int, c long"
+# rows of documents have doc_id .. classes; rows of a chunk's dictionary have slot and h
+CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.binary()), ("classes", pa.binary()), ("slot", pa.int32()), ("h", pa.int64())])
+CHUNKS_DDL = "chunk long, doc_id long, held_out boolean, tokens binary, classes binary, slot int, h long"
 
 
 class _Chunk:
     def __init__(self, number: int):
         self.number, self.slots, self.rows, self.total = number, {None: 0}, [], 0
-        self.known = [0]  # class by slot
 
     def add(self, doc_id, held: bool, text: bytes) -> None:
         slots, words = self.slots, text.lower().split()
         for w in words:
             if w not in slots:
                 slots[w] = len(slots)
-                self.known.append(class_of(w))
         tokens = np.fromiter((slots[w] for w in words), np.int32, len(words))
         self.rows.append((doc_id, held, np.append(tokens, np.int32(0))))
         self.total += len(words) + 1
 
-    def batches(self):
-        known = np.array(self.known, np.uint16)
-        counts = np.zeros(len(known), np.int64)
-        n = len(self.rows)
+    def batches(self, own: np.ndarray):
+        words = list(self.slots)[1:]
+        hashes = np.append(END_HASH, hashes_of(words))
+        classes = np.array([0, *map(class_of, words)], np.uint32)
+        if len(own):
+            at = np.searchsorted(own, hashes)
+            at[at == len(own)] = 0
+            classes = np.where(own[at] == hashes, CLASSES + at, classes).astype(np.uint32)
         none = pa.nulls
-        for lo in range(0, n, 256):
+        for lo in range(0, len(self.rows), 256):
             part = self.rows[lo:lo + 256]
-            for _, held, t in part:
-                if not held:
-                    counts += np.bincount(t, minlength=len(known)) if len(t) > 20_000 else 0
-                    if len(t) <= 20_000:
-                        np.add.at(counts, t, 1)
             k = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, self.number)), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.bool_()), pa.array([len(r[2]) for r in part], pa.int64()), pa.array([pack(r[2]) for r in part], pa.binary()), pa.array([pack(known[r[2]]) for r in part], pa.binary()), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.int64())], schema=CHUNKS)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) if w is not None else END_HASH % 2**64 for w in self.slots), np.uint64, len(known)).view(np.int64)
-        for lo in range(0, len(known), 50_000):
-            k = len(known[lo:lo + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, self.number)), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.int64()), none(k, pa.binary()), none(k, pa.binary()), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(hashes[lo:lo + k]), pa.array(known[lo:lo + k].astype(np.int32)), pa.array(counts[lo:lo + k])], schema=CHUNKS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, self.number)), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.bool_()), pa.array([pack(r[2]) for r in part], pa.binary()), pa.array([pack(classes[r[2]]) for r in part], pa.binary()), none(k, pa.int32()), none(k, pa.int64())], schema=CHUNKS)
+        for lo in range(0, len(hashes), 50_000):
+            k = len(hashes[lo:lo + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, self.number)), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.binary()), none(k, pa.binary()), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(hashes[lo:lo + k])], schema=CHUNKS)
 
 
-def _chunked(batches):
-    number = TaskContext.get().partitionId() << 32
-    now = _Chunk(number)
-    for b in batches:
-        ids, held = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, text in enumerate(b.column(2)):
-            now.add(ids[i], held[i], text.as_py())
-            if now.total >= CHUNK_TOKENS:
-                yield from now.batches()
-                number += 1
-                now = _Chunk(number)
-    if now.rows:
-        yield from now.batches()
+def _chunked(shared):
+    def run(batches):
+        own = shared.value
+        number = TaskContext.get().partitionId() << 32
+        now = _Chunk(number)
+        for b in batches:
+            ids, held = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, text in enumerate(b.column(2)):
+                now.add(ids[i], held[i], text.as_py())
+                if now.total >= CHUNK_TOKENS:
+                    yield from now.batches(own)
+                    number += 1
+                    now = _Chunk(number)
+        if now.rows:
+            yield from now.batches(own)
+
+    return run
 
 
 class Model:
@@ -128,40 +161,103 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions of some sequences (forward and backward)."""
-        order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        first = (np.cumsum(lengths[np.argsort(order)]) - lengths[np.argsort(order)])[order]
-        alive = np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), side="right")
-        by_class, move = np.ascontiguousarray(self.emit.T), self.move
+    def transfer(self, classes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For runs classes[first:first + n]: the matrix that takes the state before a run to the state after it, up to a factor."""
+        order = np.argsort(-n, kind="stable")
+        first, alive = first[order], _alive(n[order])
+        states, by_class = len(self.start), np.ascontiguousarray(self.emit.T)
+        m = np.broadcast_to(np.eye(states), (len(n), states, states)).copy()
+        for t, k in enumerate(alive):
+            m[:k] = (m[:k].reshape(-1, states) @ self.move).reshape(k, states, states) * by_class[classes[first[:k] + t]][:, None, :]
+            if t % 8 == 7:
+                m[:k] /= m[:k].sum((1, 2), keepdims=True)
+        out = np.empty_like(m)
+        out[order] = m / m.sum((1, 2), keepdims=True)
+        return out
+
+    def expected(self, classes: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts, moves and emissions of whole sequences (forward and backward).
+
+        A long sequence is worked on in segments side by side. The state before each segment and the
+        backward vector behind it come from the products of the segments' transfer matrices, so the
+        counts are those of the uncut sequence.
+        """
+        states = len(self.start)
+        begin = np.cumsum(lengths) - lengths
+        pieces = -(-lengths // segment)
+        seq = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(seq)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = begin[seq] + nth * segment
+        n = np.minimum(segment, lengths[seq] - nth * segment)
+        enter, leave = np.zeros((len(seq), states)), np.ones((len(seq), states))
+        cut = np.nonzero(pieces[seq] > 1)[0]
+        if len(cut):
+            m = np.empty((len(seq), states, states))
+            m[cut] = self.transfer(classes, first[cut], n[cut])
+            heads = cut[nth[cut] == 0]
+            # a first segment begins with the start probabilities, not with a move
+            after = self.start * self.emit.T[classes[first[heads]]]
+            after = after / after.sum(1, keepdims=True)
+            long = n[heads] > 1
+            if long.any():
+                rest = self.transfer(classes, first[heads[long]] + 1, n[heads[long]] - 1)
+                after[long] = np.einsum("ni,nij->nj", after[long], rest)
+            at = heads
+            while len(at):
+                after = after / after.sum(1, keepdims=True)
+                more = nth[at] + 1 < pieces[seq[at]]
+                at, after = at[more] + 1, after[more]
+                enter[at] = after
+                after = np.einsum("ni,nij->nj", after, m[at])
+            at = cut[nth[cut] == pieces[seq[cut]] - 1]
+            behind = np.ones((len(at), states))
+            while len(at):
+                more = nth[at] > 0
+                at, behind = at[more], behind[more]
+                behind = np.einsum("nij,nj->ni", m[at], behind)
+                behind = behind / behind.sum(1, keepdims=True)
+                at = at - 1
+                leave[at] = behind
+        sums = np.zeros(states), np.zeros((states, states)), np.zeros_like(self.emit)
+        order = np.argsort(-n, kind="stable")
+        bounds = np.searchsorted(np.cumsum(n[order]), np.arange(0, n.sum() + 1, BLOCK_TOKENS)[1:])
+        for part in np.split(order, np.unique(bounds)):
+            if len(part):
+                for total, x in zip(sums, self._block(classes, first[part], n[part], nth[part] == 0, enter[part], leave[part])):
+                    total += x
+        return sums[0], sums[1] * self.move, sums[2]
+
+    def _block(self, classes, first, n, head, enter, leave) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward over runs in order of falling length; moves without their probabilities."""
+        alive, by_class, move = _alive(n), np.ascontiguousarray(self.emit.T), self.move
         forward, seen, scales = [], [], []
-        a = np.broadcast_to(self.start, (len(lengths), len(self.start)))
-        for t, n in enumerate(alive):
-            obs = classes[first[:n] + t]
+        a = np.where(head[:, None], self.start, enter @ move)
+        for t, k in enumerate(alive):
+            obs = classes[first[:k] + t]
             e = by_class[obs]
-            a = (a[:n] @ move if t else a[:n]) * e
+            a = (a[:k] @ move if t else a) * e
             c = a.sum(1, keepdims=True)
             a = a / c
             forward.append(a)
             seen.append((obs, e))
             scales.append(c)
-        starts, moves = np.zeros(len(self.start)), np.zeros_like(move)
-        gammas, b = [], np.ones((0, len(self.start)))
+        starts, moves, gammas = np.zeros(len(self.start)), np.zeros_like(move), []
+        b = np.ones((0, len(self.start)))
         for t in range(len(alive) - 1, -1, -1):
-            n = alive[t]
-            if len(b) < n:
-                b = np.concatenate([b, np.ones((n - len(b), len(self.start)))])
+            k = alive[t]
+            if len(b) < k:  # runs that end here
+                ends = leave[len(b):k]
+                b = np.concatenate([b, ends / (forward[t][len(b):] * ends).sum(1, keepdims=True)])
             gammas.append(forward[t] * b)
+            eb = seen[t][1] * b / scales[t]
             if t:
-                eb = seen[t][1] * b / scales[t]
-                moves += forward[t - 1][:n].T @ eb
+                moves += forward[t - 1][:k].T @ eb
                 b = eb @ move.T
             else:
-                starts = gammas[-1].sum(0)
+                starts = gammas[-1][head].sum(0)
+                moves += enter[~head].T @ eb[~head]
         gamma, obs = np.concatenate(gammas), np.concatenate([o for o, _ in reversed(seen)])
-        emits = np.stack([np.bincount(obs, g, self.emit.shape[1]) for g in gamma.T])
-        return starts, moves * move, emits
+        return starts, moves, np.stack([np.bincount(obs, g, self.emit.shape[1]) for g in gamma.T])
 
     def next(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, smooth: float = 0.1) -> Model:
         def norm(x):
@@ -171,22 +267,36 @@ class Model:
         return Model(norm(starts), norm(moves), norm(emits))
 
 
+def _alive(lengths: np.ndarray) -> np.ndarray:
+    """How many of the lengths, which fall, exceed 0, 1, 2, ..."""
+    return np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), side="right")
+
+
 def _unpack(column, kind) -> list[np.ndarray]:
     return [np.frombuffer(zlib.decompress(x.as_buffer()), kind) for x in column]
 
 
 def _expect(shared):
-    """One row for each parameter and task."""
+    """One row for each parameter and task; whole texts, some POOL_TOKENS of them at a time."""
 
     def run(batches):
         m: Model = shared.value
         sums = [np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)]
+        held, n = [], 0
+
+        def work():
+            for total, x in zip(sums, m.expected(np.concatenate(held), np.array([len(s) for s in held]))):
+                total += x
+
         for b in batches:
-            cut = [s[i:i + SEGMENT] for s in _unpack(b.column(0), np.uint16) for i in range(0, len(s), SEGMENT)]
-            for lo in range(0, len(cut), LANES):
-                part = cut[lo:lo + LANES]
-                for total, x in zip(sums, m.expected(np.concatenate(part), np.array([len(s) for s in part]))):
-                    total += x
+            for s in _unpack(b.column(0), np.uint32):
+                held.append(s)
+                n += len(s)
+                if n >= POOL_TOKENS:
+                    work()
+                    held, n = [], 0
+        if held:
+            work()
         flat = np.concatenate([x.ravel() for x in sums])
         at = np.nonzero(flat)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["at", "x"])
@@ -212,43 +322,82 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _score(shared, n_all: int, v_all: int):
+    """Rows in order of chunk, a chunk's word counts before its texts -> scored texts."""
+
+    def run(batches):
+        m, share = shared.value
+        now, count, held = None, None, []
+
+        def known(b) -> None:
+            nonlocal count
+            slots, c = b.column(1).to_numpy(), b.column(2).to_numpy()
+            if len(slots):
+                if len(count) <= slots.max():
+                    count = np.concatenate([count, np.zeros(max(int(slots.max()) + 1 - len(count), len(count)), np.int64)])
+                count[slots] = c
+
+        def score(b) -> pa.RecordBatch:
+            tokens = _unpack(b.column(5), np.int32)
+            flat, n = np.concatenate(tokens), np.array([len(t) for t in tokens])
+            classes = np.concatenate(_unpack(b.column(6), np.uint32))
+            c = count[np.minimum(flat, len(count) - 1)] * (flat < len(count))
+            at = np.cumsum(n) - n
+            each = np.log10(c + 1.0)
+            base = np.add.reduceat(each - np.log10(n_all + v_all + 1.0), at)
+            total = m.log10(classes, n) + np.add.reduceat(each - share[classes], at)
+            return pa.RecordBatch.from_arrays([b.column(3), b.column(4), pa.array(n, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(total)], schema=SCORED)
+
+        for b in batches:
+            chunks = b.column(0).to_numpy()
+            for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.nonzero(np.diff(chunks))[0] + 1, [len(chunks)]]) if len(chunks) else np.zeros(1, int))):
+                if chunks[lo] != now:
+                    now, count = chunks[lo], np.zeros(1, np.int64)
+                part = b.slice(lo, hi - lo)
+                texts = part.column(1).is_null().to_numpy(zero_copy_only=False)
+                if not texts.all():
+                    known(part.filter(pa.array(~texts)))
+                if texts.any():
+                    yield score(part.filter(pa.array(texts)))
+
+    return run
+
+
 def score_documents(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     text_batches(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    chunks = stored(docs.select(F.col("doc_id").cast("long"), held, text_bytes()).mapInArrow(_chunked, CHUNKS_DDL), "chunks")
-    rows, words = chunks.where("slot is null"), chunks.where("slot is not null")
-    counts = stored(words.groupBy("h", "cls").agg(F.sum("c").alias("c")).where("c > 0"), "counts")
-
-    by_class = counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # at most CLASSES rows
-    n_of, v_of = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in by_class:
-        n_of[r["cls"]], v_of[r["cls"]] = r["n"], r["v"]
-    n_all, v_all = int(n_of.sum()), int(v_of.sum())
-    model = train(spark, rows.where("not held_out"), n_of / max(1, n_all), states, passes if n_all else 0)
-    shared = spark.sparkContext.broadcast((model, np.log10(n_of + v_of + 1.0)))
-
-    def score(_, texts: pa.Table, dictionary: pa.Table) -> pa.Table:
-        m, class_share = shared.value
-        slots, c = dictionary.column("token").to_numpy(), dictionary.column("count").to_numpy()
-        tokens = _unpack(texts.column("tokens"), np.int32)
-        flat, n = np.concatenate(tokens) if tokens else np.empty(0, np.int32), np.array([len(t) for t in tokens])
-        count = np.zeros(max(int(flat.max(initial=0)), int(slots.max(initial=0))) + 1, np.int64)
-        count[slots] = c
-        classes = np.concatenate(_unpack(texts.column("classes"), np.uint16)) if tokens else np.empty(0, np.uint16)
-        at = np.cumsum(n) - n
-        sums = lambda x: np.add.reduceat(x, at) if len(at) else np.empty(0)
-        each = np.log10(count + 1.0)[flat]
-        base = sums(each - np.log10(n_all + v_all + 1.0))
-        word = sums(each - class_share[classes])
-        known = sums((count > 0)[flat].astype(np.int64))
-        score_ = (m.log10(classes, n) if len(n) else np.empty(0)) + word
-        return pa.Table.from_arrays([texts.column("doc_id"), texts.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), n_all)), pa.array(base, pa.float64()), pa.array(score_, pa.float64())], schema=SCORED)
-
-    own = words.select("h", "chunk", "slot").join(counts.select("h", "c"), "h").select(F.col("chunk").alias("of"), F.col("slot").alias("token"), F.col("c").alias("count"))
-    texts = rows.select("chunk", "doc_id", "held_out", "tokens", "classes")
-    out = stored(texts.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(score, SCORED_DDL), "scored")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_bytes().alias("text"))
+    counts = stored(rows.where("not held_out").select("text").mapInArrow(_count, "h long, cls int, c long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("c").alias("c")), "counts")
+    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n_all, v_all = whole["n"], whole["v"]
+
+    # frequent words are classes of their own: sqrt(n) / 4 of them at most
+    often = F.col("c") >= 4 * n_all**0.5
+    frequent = sorted((r["h"], r["c"]) for r in counts.where(often & (F.col("cls") > 0)).select("h", "c").collect())
+    own = np.array([h for h, _ in frequent], np.int64)
+    size = CLASSES + len(own)
+    n_of, share = np.zeros(size, np.int64), np.zeros(size)
+    for r in counts.where(~often | (F.col("cls") == 0)).groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # at most CLASSES rows
+        n_of[r["cls"]], share[r["cls"]] = r["n"], r["n"] + r["v"]
+    n_of[CLASSES:] = [c for _, c in frequent]
+    # a class of one word emits it for certain, the others keep one share for what is unseen
+    share = np.log10(np.where((np.arange(size) >= CLASSES) | (np.arange(size) == 0), n_of, share) + 1.0)
+
+    shared_own = spark.sparkContext.broadcast(own)
+    chunks = stored(rows.mapInArrow(_chunked(shared_own), CHUNKS_DDL), "chunks")
+    texts, words = chunks.where("slot is null"), chunks.where("slot is not null")
+    model = train(spark, texts.where("not held_out"), n_of / max(1, n_all), states, passes if n_all else 0)
+    shared = spark.sparkContext.broadcast((model, share))
+
+    # each chunk meets the counts of its own words again; chunks are dealt in turn, not by a hash
+    own_counts = words.select("h", "chunk", "slot").join(counts.select("h", "c"), "h").select("chunk", "slot", "c", *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("held_out", "boolean"), ("tokens", "binary"), ("classes", "binary"))])
+    met = own_counts.unionByName(texts.select("chunk", "slot", F.lit(None).cast("long").alias("c"), "doc_id", "held_out", "tokens", "classes"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.pmod(F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(0xFFFFFFFF), F.lit(parts)).cast("int")
+    dealt = met.repartitionById(parts, deal).sortWithinPartitions("chunk", F.col("slot").asc_nulls_last())
+    out = stored(dealt.mapInArrow(_score(shared, n_all, v_all), SCORED_DDL), "scored")
     drop_stored(chunks, counts)
     return out
 
