@@ -39,21 +39,22 @@ MIN_CHARS, MAX_EDITS, SHORT_WORDS = 40, 3, 3
 #: Lines of a key up to which all its pairs are made, and rounds in which keys of more are made longer.
 HOT, LEVELS = 2048, 4
 WORD = r"[^ \t\n\f\r\x0B]+"
-LETTERS = "eantoirs"
+#: Two groups of eight letters, whose counts fit a long each.
+LETTERS = ("eantoirs", "dlucmpgh")
 LAST = (1 << 63) - 1
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of LETTERS, at most 127 each, in one long."""
+def letter_counts(line: Column, letters: str) -> Column:
+    """Counts of eight letters, at most 127 each, in one long."""
     out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
+    for i, c in enumerate(letters):
         n = F.least(F.lit(127), F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))))
         out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * i))
     return out
 
 
 def letters_apart(a: Column, b: Column) -> Column:
-    each = [F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(127) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(127)) for i in range(len(LETTERS))]
+    each = [F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(127) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(127)) for i in range(8)]
     return sum(each[1:], each[0])
 
 
@@ -71,7 +72,7 @@ def pair_parities(line: Column) -> list[Column]:
 def may_be_near(a: str, b: str, edits: int) -> Column:
     """What lines within `edits` edits fulfil: an edit changes two letter counts by one, and four pairs, at most."""
     apart = F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))) + F.bit_count(F.col(f"{a}.p1").bitwiseXOR(F.col(f"{b}.p1")))
-    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= edits) & (apart <= 4 * edits) & (letters_apart(F.col(f"{a}.letters"), F.col(f"{b}.letters")) <= 2 * edits)
+    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= edits) & (apart <= 4 * edits) & (letters_apart(F.col(f"{a}.l0"), F.col(f"{b}.l0")) + letters_apart(F.col(f"{a}.l1"), F.col(f"{b}.l1")) <= 2 * edits)
 
 
 def segment_size(length: Column, edits: int) -> Column:
@@ -103,7 +104,14 @@ def segment_keys(rows: DataFrame, edits: int, least: int, deeper: bool) -> DataF
     return there.select(
         key.alias("key"), "id", "n", (F.col("idx") & (move == 0) & (s == segment_size(size, edits))).alias("idx"),
         F.when(F.col("at.end"), F.col("lo")).otherwise(F.col("start") + s).alias("lo"), F.when(F.col("at.end"), F.col("start")).otherwise(F.col("hi")).alias("hi"),
-        F.when(F.col("at.end"), i).otherwise(edits - i).cast("tinyint").alias("left"))
+        F.when(F.col("at.end"), i).otherwise(edits - i).cast("tinyint").alias("left"), (F.lit(0) if deeper else i).cast("tinyint").alias("nth"))
+
+
+def own_segments(line: Column, length: Column, edits: int) -> Column:
+    """Hashes of a whole line's segments at their own places."""
+    s = segment_size(length, edits)
+    start = lambda i: i * s if 2 * i <= edits else length - (edits + 1 - i) * s
+    return F.array(*[F.xxhash64(s, F.substring(line, start(i) + 1, s)) for i in range(edits + 1)])
 
 
 def within_edits(ca: Column, cb: Column, edits: int) -> Column:
@@ -157,6 +165,9 @@ def near_lines(firsts: DataFrame, edits: int, least: int) -> DataFrame:
     text = firsts.where("line is not null").select("id", "line", F.char_length("line").alias("n"))
     pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
     near = (F.col("a.id") != F.col("b.id")) & may_be_near("a", "b", edits)
+    # the probe is the longer line, and a pair whose earlier segments are equal, too, comes from the first of them
+    probe = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("a.id") < F.col("b.id")))
+    before = reduce(Column.__or__, [(F.col("a.nth") > i) & (F.get("a.own", F.lit(i)) == F.get("b.own", F.lit(i))) for i in range(edits)])
     w, late, level, hot, texts = Window.partitionBy("key"), [], 0, None, None
     keys = segment_keys(text.select(F.lit(0).cast("long").alias("key"), "id", "n", F.lit(True).alias("idx"), F.lit(0).alias("lo"), F.col("n").alias("hi"), "line"), edits, least, False)
     while True:
@@ -165,16 +176,16 @@ def near_lines(firsts: DataFrame, edits: int, least: int) -> DataFrame:
         if texts is None:  # the lines that share a segment with another one
             ids = met.select("id").distinct()
             slots, p0, p1 = pair_parities(F.col("line"))
-            texts = firsts.join(ids, "id", "left_semi").select("id", "first", "line", letter_counts(F.col("line")).alias("letters"), F.explode(F.array(F.struct(slots))).alias("s")).select("*", F.col("s.slots").alias("slots"))
-            texts = stored(texts.select("id", "first", "line", "letters", p0.alias("p0"), p1.alias("p1")), "texts")
-        met_ = met.join(texts.select("id", "first", "letters", "p0", "p1"), "id")
+            texts = firsts.join(ids, "id", "left_semi").select("id", "first", "line", *[letter_counts(F.col("line"), c).alias(f"l{k}") for k, c in enumerate(LETTERS)], own_segments(F.col("line"), F.char_length("line"), edits).alias("own"), F.explode(F.array(F.struct(slots))).alias("s")).select("*", F.col("s.slots").alias("slots"))
+            texts = stored(texts.select("id", "first", "line", "l0", "l1", "own", p0.alias("p0"), p1.alias("p1")), "texts")
+        met_ = met.join(texts.drop("line"), "id")
         is_hot = F.col("ni") * F.col("nt") > HOT * HOT
         members = met.where(is_hot).count()
         cold = met_.where(~is_hot)
-        pairs = cold.where("idx").alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select(*pair)
+        pairs = cold.where("idx").alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & probe & near & ~before).select(*pair)
         if members:
             hot = stored(met_.where(is_hot), "hot")
-            pivots = hot.groupBy("key").agg(F.min_by(F.struct("id", "n", "letters", "p0", "p1"), "first").alias("b"))
+            pivots = hot.groupBy("key").agg(F.min_by(F.struct("id", "n", "l0", "l1", "p0", "p1"), "first").alias("b"))
             led = hot.alias("a").join(maybe_broadcast(pivots, members // HOT, 64), F.col("a.key") == pivots["key"]).where(near)
             pairs = pairs.union(led.select(*pair))
         pairs = stored(pairs.distinct(), "pairs")
