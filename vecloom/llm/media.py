@@ -34,8 +34,8 @@ STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest",
 STORED_DDL = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("width", pa.int64()), ("height", pa.int64())])
 FEATURES_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
-HEADERS = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("bit_depth", pa.int64()), ("colour_type", pa.int64())])
-HEADERS_DDL = "doc_id long, digest string, width long, height long, bit_depth long, colour_type long"
+HEADERS = pa.schema([*STORED, ("width", pa.int64()), ("height", pa.int64()), ("bit_depth", pa.int64()), ("colour_type", pa.int64())])
+HEADERS_DDL = STORED_DDL + ", width long, height long, bit_depth long, colour_type long"
 
 def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % WIDTH if text else WIDTH)
@@ -141,19 +141,21 @@ class RangeReader:
         return self.file.read_at(length, offset)
 
 def header_columns(stored: DataFrame, folder: str) -> DataFrame:
-    """doc_id, digest and the metadata columns, from header-only range reads."""
+    """The catalogue's columns and the metadata columns, which header-only range reads fill."""
 
     def run(batches):
         reader = RangeReader(folder)
         for b in batches:
             rows = b.select(["shard", "offset"]).to_pylist()
             heads = [png_header(reader.read(r["shard"], r["offset"], PNG_HEAD)) for r in rows]
-            yield batch_of(HEADERS, b.column("doc_id"), b.column("digest"), *(map(list, zip(*heads)) if heads else [[]] * 4))
+            yield batch_of(HEADERS, *b.columns, *(map(list, zip(*heads)) if heads else [[]] * 4))
 
     return stored.mapInArrow(run, HEADERS_DDL)
 
 def media_features(stored: DataFrame, folder: str) -> DataFrame:
-    """The stored payloads, read back: sizes, digests, features and the header's columns."""
+    """The stored payloads, read back: sizes, digests and features; width and height come from header_columns."""
+    if "width" not in stored.columns:
+        stored = header_columns(stored, folder)
 
     def run(batches):
         reader, last, known = RangeReader(folder), None, {}
@@ -165,13 +167,13 @@ def media_features(stored: DataFrame, folder: str) -> DataFrame:
                 if (value := known.get(r["offset"])) is None:
                     png = reader.read(r["shard"], r["offset"], r["length"])
                     payload = from_png(png)
-                    width, height, *_ = png_header(png[:PNG_HEAD])
-                    value = known[r["offset"]] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(png), hashlib.sha256(png).hexdigest(), feature_of(payload), width, height)
+                    value = known[r["offset"]] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(png), hashlib.sha256(png).hexdigest(), feature_of(payload))
                 rows.append(value)
-            yield batch_of(FEATURES, b.column("doc_id"), b.column("n_bytes"), *(map(list, zip(*rows)) if rows else [[]] * 8))
+            yield batch_of(FEATURES, b.column("doc_id"), b.column("n_bytes"), *(map(list, zip(*rows)) if rows else [[]] * 6), b.column("width"), b.column("height"))
 
     return stored.mapInArrow(run, FEATURES_DDL)
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "media")
-    return media_features(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder), folder)
+    stored = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    return media_features(header_columns(stored, folder), folder)
