@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batch_of, text_batches
+from vecloom.llm.common import batch_of, drop_stored, stored, text_batches
 from vecloom.llm.pieces import PieceCache
 
 SAMPLE, LEXICON, THRESHOLD = 20_000, 256, 0.7
@@ -220,11 +220,12 @@ def _word_counts(batches):
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON, least: int = 8, odds: float = 20.0) -> ToxicModel:
     """Lexicon, ordinary near forms and weights from labelled rows."""
     text_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, sample)
+    rows = stored(training_rows(docs, labels, sample), "training")  # at most `sample` labels; read four times
     words = rows.mapInArrow(_word_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
+        drop_stored(rows)
         return ToxicModel([])
     ratio = ((F.col("bad") + 0.5) / (n1 + 1)) / ((F.col("good") + 0.5) / (n0 + 1))
     # two letters at least; a term's share of toxic rows keeps out rare words that are toxic by chance
@@ -238,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
             seen = Counter(w for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if toxic != 1 for w in draft.near_forms(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    common = rows.mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(50_000)
+    common = rows.mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")  # words of the training rows, so their bound is that of `sample`
     model = ToxicModel(draft.terms, draft.strength, frozenset(r["word"] for r in common.select("word").collect()))
 
     def featured(batches):
@@ -246,6 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
             yield pa.RecordBatch.from_arrays([pa.array([[*model.features(t)[1], float(y == 1)] for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.list_(pa.float64()))], names=["f"])
 
     table = np.array([r["f"] for r in rows.mapInArrow(featured, "f array<double>").collect()])  # at most `sample` short rows
+    drop_stored(rows)
     table = table[np.lexsort(table.T)]  # sums don't depend on the order in which rows came
     weights, bias = fit_logistic(table[:, :-1], table[:, -1])
     return ToxicModel(model.terms, model.strength, model.ordinary, weights, bias)
