@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -159,11 +160,21 @@ def detector(examples: int = 6000, precision: float = 0.95, seed: int = 7) -> tu
 
 def choose(base: list[tuple[str, int, int]], proposed: list[tuple[int, int, int]], scores: np.ndarray, cuts: tuple[float, ...]) -> list[tuple[str, int, int]]:
     """Base spans and, by falling score, the proposals that overlap nothing chosen before."""
-    taken, added = [(s, e) for _, s, e in base], []
+    starts, ends, added = [], [], []  # of disjoint spans, in order
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s < ends[-1]:  # base spans of two kinds may overlap
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for i in sorted(range(len(proposed)), key=lambda i: (-scores[i], proposed[i])):
         kind, s, e = proposed[i]
-        if scores[i] >= cuts[kind] and all(e <= a or s >= b for a, b in taken):
-            taken.append((s, e))
+        if scores[i] < cuts[kind]:
+            continue
+        at = bisect_left(starts, e)  # spans before this one start before e
+        if not at or ends[at - 1] <= s:
+            starts.insert(at, s)
+            ends.insert(at, e)
             added.append((ADDED[kind], s, e))
     return base + sorted(added, key=lambda t: (ADDED.index(t[0]), t[1]))
 
