@@ -170,6 +170,29 @@ def test_3_media(spark, docs, none):
     assert media.media_features(media.store_media(none, empty), empty).count() == 0
 
 
+def test_3_png_opens_elsewhere(spark, docs):
+    """The stored bytes as another decoder sees them: chunks, checksums, samples and header columns."""
+    from urllib.parse import urlparse
+
+    folder = scratch(spark, "m")
+    kept = media.store_media(docs, folder)
+    texts = {hashlib.sha256(p).hexdigest(): p for _, t in TEXTS for p in [(t or "").encode() + bytes(-len((t or "").encode()) % 64 or (0 if t else 64))]}
+    for r in media.header_columns(kept, folder).collect():
+        with open(f"{urlparse(folder).path}/shards/{r['shard']}", "rb") as f:
+            f.seek(r["offset"])
+            png = f.read(r["length"])
+        at, data, head = 8, b"", None
+        while at < len(png):
+            n = int.from_bytes(png[at:at + 4], "big")
+            kind, body, crc = png[at + 4:at + 8], png[at + 8:at + 8 + n], png[at + 8 + n:at + 12 + n]
+            assert zlib.crc32(kind + body).to_bytes(4, "big") == crc
+            head, data, at = body if kind == b"IHDR" else head, data + body * (kind == b"IDAT"), at + 12 + n
+        width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+        raw = zlib.decompress(data)
+        samples = b"".join(raw[i * (width + 1) + 1:(i + 1) * (width + 1)] for i in range(height))
+        assert (png[:8], r["width"], r["height"], samples) == (b"\x89PNG\r\n\x1a\n", width, height, texts[r["digest"]])
+
+
 def test_4_line_dedup(spark, none):
     a, b = "x" * 30 + " the first long line of it", "another quite long line, that is here only once"
     near = a.replace("first", "fxrst")
@@ -382,6 +405,22 @@ def test_8_pii(docs, none):
     assert [text[s:e] for _, s, e in added] == ["123-45-6789", "(212) 555-0188"]
 
 
+def test_8_choose_is_greedy_without_overlaps():
+    r = random.Random(5)
+    for _ in range(300):
+        spans = lambda n: [(s, s + r.randrange(1, 9)) for s in (r.randrange(60) for _ in range(n))]
+        base, proposed = [("email", *s) for s in spans(3)], [(r.randrange(3), *s) for s in spans(15)]
+        scores = np.array([r.randrange(10) / 10 for _ in proposed])
+        taken, want = [s for _, *s in base], []
+        for i in sorted(range(15), key=lambda i: (-scores[i], proposed[i])):
+            k, s, e = proposed[i]
+            if scores[i] >= 0.3 and all(e <= a or s >= b for a, b in taken):
+                taken.append((s, e))
+                want.append((pii.ADDED[k], s, e))
+        got = pii.choose(base, proposed, scores, (0.3, 0.3, 0.3))
+        assert got[:3] == base and sorted(got[3:]) == sorted(want)
+
+
 def test_8_boosting():
     r = np.random.default_rng(0)
     x = r.random((800, 4))

@@ -17,11 +17,13 @@ BROADCAST_BYTES = 16 << 20
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared checkpoint folder, which the driver and all executors reach.
 
-    The folder is the one that spark.checkpoint.dir names; only where it is unset (tests, local
-    mode) a temporary one is made.
+    The folder is the one that spark.checkpoint.dir names; only with a local master a temporary one is
+    made where it is unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         base = getattr(spark.sparkContext, "_vecloom_scratch", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="vecloom-")
