@@ -96,8 +96,7 @@ def lloyd(x: np.ndarray, means: np.ndarray, rounds: int = 10) -> np.ndarray:
             break
         own = new
         n = np.bincount(own, minlength=len(means))
-        sums = np.zeros_like(means)
-        np.add.at(sums, own, x)
+        sums = np.stack([np.bincount(own, column, len(means)) for column in x.T], axis=1)
         means = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], means)
     return means
 
