@@ -39,7 +39,8 @@ def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_join), ("benchmark decontamination", decontamination), ("byte-level BPE", bpe_codec)]
 
-#: The first stage is a trained model, so SQL can't express the rows; a test holds them to brute force.
+#: The first stage is a trained model, so SQL can't express the rows. Tests hold the stages' operators to brute force,
+#: and the pipeline to what each stage promises of its own output.
 ORACLE_SQL = None
 
 
