@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import vectors as V
 from vecloom.operators import index as ann
 from vecloom.operators import metrics
-from vecloom.operators.config import CorruptIndex, EmptyIndex, IndexConfig, InvalidDimension, VersionNotFound, check_dim
+from vecloom.operators.config import CorruptIndex, EmptyIndex, IndexConfig, InvalidDimension, VersionConflict, VersionNotFound, check_dim
 from vecloom.operators.retrieval import Predicate, QueryPlan, exact_knn
 from vecloom.sources.index_store import Dataset, load_index, save_index
 from vecloom.sources.vector_files import read_fvecs, read_ivecs, read_json_vectors, with_ids
@@ -181,3 +181,44 @@ def test_sql_and_arrow_agree(base):
     a = [r["vec_id"] for r in exact_knn(base, q.select(F.col("embedding").alias("q")), 10).collect()]
     b = [r["vec_id"] for r in ann.exact_batch(base, q.select(F.col("vec_id").alias("qid"), "embedding"), 10).orderBy("rank").collect()]
     assert a == b
+
+
+def test_dense_ids_at_size(spark):
+    """Rows whose range partitioning is sampled anew in each run."""
+    got = with_ids(spark.range(400_000).select(F.xxhash64("id").alias("x")), "x", 0).agg(F.count_distinct("vec_id").alias("n"), F.max("vec_id").alias("most")).first()
+    assert (got["n"], got["most"]) == (400_000, 399_999)
+
+
+def test_ties_go_to_lower_ids(spark):
+    rows = [(i, [float(i < 50)] * 64) for i in range(100)]
+    df = spark.createDataFrame([(i, [0.0] * 64 if 50 <= i else [1.0] * 64) for i, _ in rows], DDL).repartition(3, F.col("vec_id") % 7)
+    asked_ = spark.createDataFrame([(0, [0.0] * 64)], "qid long, embedding array<float>")
+    assert [r["vec_id"] for r in ann.exact_batch(df, asked_, 3).orderBy("rank").collect()] == [50, 51, 52]
+
+
+def test_blocks_of_queries(base, index, monkeypatch):
+    want = sorted(map(tuple, ann.search(index, asked(base, 12), 5, 4).collect()))
+    exact = sorted(map(tuple, ann.exact_batch(base, asked(base, 12), 5).collect()))
+    monkeypatch.setattr(ann, "QUERY_BYTES", 4 * 64 * 8)
+    # the last bits of a score depend on how many queries a matrix product has
+    assert [r[:4] for r in sorted(map(tuple, ann.search(index, asked(base, 12), 5, 4).collect()))] == [r[:4] for r in want]
+    assert [r[:3] for r in sorted(map(tuple, ann.exact_batch(base, asked(base, 12), 5).collect()))] == [r[:3] for r in exact]
+
+
+def test_hierarchical_probing_keeps_recall(base):
+    i = ann.build(base, 64, IndexConfig(num_partitions=16, refine_k=60), hierarchical=True)
+    i.codes = i.codes.cache()
+    exact = ann.exact_batch(base, asked(base), 10)
+    mean = lambda f: metrics.recall(f, exact, 10).agg(F.avg("recall")).first()[0]
+    linear, two_level = (mean(ann.search(i, asked(base), 10, 12, hierarchical=h)) for h in (False, True))
+    assert two_level >= linear - 0.05
+    assert mean(ann.search(i, asked(base), 10, 16)) >= 0.9
+
+
+def test_second_writer_is_refused(spark, tmp_path, monkeypatch):
+    a, b = (Dataset(spark, str(tmp_path / "d")) for _ in range(2))
+    assert a.append(spark.range(2)) == 1
+    monkeypatch.setattr(b, "versions", lambda: [])
+    with pytest.raises(VersionConflict):
+        b.append(spark.range(3))
+    assert a.read().count() == 2
