@@ -97,7 +97,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, parts
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the partition count follows the input: with no count, Spark uses the session's and AQE may merge small ones
-    d = d.repartitionByRange(parts, "doc_id") if parts else d.repartitionByRange("doc_id")
+    # rows of one doc_id, null included, are dealt by the beginnings of their texts
+    place = [F.col("doc_id"), F.substring("text", 1, 64)]
+    d = d.repartitionByRange(parts, *place) if parts else d.repartitionByRange(*place)
     d = d.sortWithinPartitions("doc_id", "text").mapInArrow(_encode_part(tokenizer), SHARD_DDL)
     (d.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", row_index_stride)
      .option("orc.stripe.size", stripe_bytes).option("orc.create.index", "true").orc(path))
