@@ -7,8 +7,9 @@ their first n - ceil(t * n) + 1 shingles.
 
 1. Equal sets become one class. Classes with the same prefix and size become one group.
 2. Groups meet at the shingles of their prefixes. Pairs are filtered by size and by the positions of
-   the shared shingle. Frequent shingles are spread over cells of members (block, block), sized by
-   the sketch, so no task sees a whole hot list; partners leave as one list for each group.
+   the shared shingle. A shingle of more groups than a cell takes is spread over cells of members
+   (block, block), by an exact count of its groups, so no task sees a whole hot list; partners leave
+   as one list for each group.
 3. Group pairs are laid out in cells of bounded work, the groups' classes are sent there with their
    whole sets, and members are verified exactly. A cell returns a spanning forest of its links;
    members that it has linked already need no test.
@@ -38,7 +39,8 @@ WORDS, PERCENT = 5, 80
 SKETCH = 1 << 20
 #: Members of one token cell, members of one group, and group pairs of one verification cell, about.
 CELL_MEMBERS, GROUP_MEMBERS, CELL_PAIRS = 1024, 64, 200_000
-#: Shingles that one local count covers; the sketch holds those that it saw more than once.
+#: Shingles that one local count covers; the sketch holds those that it saw more than once. It only orders
+#: shingles, for which any order is right.
 LOCAL_SHINGLES = 2_000_000
 
 
@@ -119,26 +121,21 @@ def _sets(shared, words: int, percent: int):
     return run
 
 
-def _tokens(shared):
-    """One row for each prefix shingle and cell; the cells of a frequent shingle are pairs of blocks."""
+def _tokens(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, cell, gid, np) for each prefix shingle of groups and each of its cells, and the stored frame to drop.
 
-    def run(batches):
-        powers = shared.value
-        for b in batches:
-            off = b.column(2).offsets.to_numpy()
-            sizes = np.diff(off)
-            tok = b.column(2).values.to_numpy()[off[0]:off[-1]]
-            gid, n = np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes)
-            pos = np.arange(len(tok)) - np.repeat(off[:-1] - off[0], sizes)
-            blocks = np.maximum(1, (1 << powers[(tok.view(np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)) // CELL_MEMBERS)
-            own = (gid.view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
-            row = np.repeat(np.arange(len(tok)), blocks)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            cell = np.minimum(own[row], other) * 65536 + np.maximum(own[row], other)
-            # size and position share one column: both are at most the words of a text
-            yield pa.RecordBatch.from_arrays([pa.array(tok[row]), pa.array(cell), pa.array(gid[row]), pa.array((n[row] << 31) | pos[row])], names=["token", "cell", "gid", "np"])
-
-    return run
+    The cells of a shingle of many groups are pairs of blocks. Such shingles are at most one in
+    CELL_MEMBERS rows.
+    """
+    token = F.posexplode("prefix").alias("pos", "token")
+    hot = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.ceil(F.count("*") / CELL_MEMBERS).alias("blocks")).where("blocks > 1")
+    hot = stored(hot, "hot")
+    # size and position share one column: both are at most the words of a text
+    rows = groups.select("gid", "n", token).select("token", "gid", F.shiftleft("n", 31).bitwiseOR(F.col("pos").cast("long")).alias("np"))
+    own, other = F.pmod("gid", "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)).alias("other")
+    spread = rows.join(maybe_broadcast(hot, hot.count(), 32), "token", "left").select("token", "gid", "np", F.coalesce(own, F.lit(0)).alias("own"), other)
+    cell = F.shiftleft(F.least("own", "other"), 31).bitwiseOR(F.greatest("own", "other"))
+    return spread.select("token", cell.alias("cell"), "gid", "np"), hot
 
 
 LISTS = pa.schema([("node", pa.int64()), ("partners", pa.list_(pa.int64())), ("low", pa.int64())])
@@ -333,15 +330,17 @@ def _dealt(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     lot = F.coalesce(F.pmod("h1", "lots"), F.lit(0)).alias("lot")
     classes = stored(classes.join(lots, ["pk", "n"], "left").select("h1", "h2", "n", "pk", "rk", "doc_id", lot), "classes")
     groups = full.join(lots, ["pk", "n"], "left").select("pk", "n", "h1", "prefix", lot).groupBy("pk", "n", "lot").agg(F.min("h1").alias("gid"), F.first("prefix").alias("prefix"))
+    groups = stored(groups.select("gid", "n", "prefix"), "groups")
     ids = classes.groupBy("pk", "n", "lot").agg(F.min("h1").alias("gid"), F.count("*").alias("members"))
 
     # candidate lists
-    tokens = groups.select("gid", "n", "prefix").mapInArrow(_tokens(shared), "token long, cell long, gid long, np long")
+    tokens, hot = _tokens(groups)
     w = Window.partitionBy("token", "cell")
     met = tokens.withColumn("met", F.count("*").over(w.orderBy("np").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("met > 1").drop("met")
     lists = met.mapInArrow(_partners(percent), LISTS_DDL)
     alone = ids.where("members > 1").select(F.col("gid").alias("node"), F.array("gid").alias("partners"), F.col("gid").alias("low"))
     lists = stored(lists.unionByName(alone), "lists")
+    drop_stored(groups, hot)
 
     # cells of bounded work: by the least partner, then blocks of nodes
     home = lists.groupBy("node").agg(F.min("low").alias("home"), F.sum(F.size("partners")).alias("pairs"))
