@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import batch_of, drop_stored, stored, text_batches
 from vecloom.llm.pieces import PieceCache
 
-SAMPLE, LEXICON, THRESHOLD = 20_000, 256, 0.7
+SAMPLE, THRESHOLD = 20_000, 0.7
 #: A term of at least this strength counts with errors, too.
 STRONG = 0.8
 #: What a near form of a term counts for, of the term itself.
@@ -217,8 +217,12 @@ def _word_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], names=["word", "bad", "good"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON, least: int = 8, odds: float = 20.0) -> ToxicModel:
-    """Lexicon, ordinary near forms and weights from labelled rows."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 8, odds: float = 20.0) -> ToxicModel:
+    """Lexicon, ordinary near forms and weights from labelled rows.
+
+    Every word enters the lexicon that `least` toxic rows and a fiftieth of them hold, and that is
+    `odds` times as frequent there; so there are at most 50 times as many as distinct words in a toxic row.
+    """
     text_batches(docs.sparkSession)
     rows = stored(training_rows(docs, labels, sample), "training")  # at most `sample` labels; read four times
     words = rows.mapInArrow(_word_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -229,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
         return ToxicModel([])
     ratio = ((F.col("bad") + 0.5) / (n1 + 1)) / ((F.col("good") + 0.5) / (n0 + 1))
     # two letters at least; a term's share of toxic rows keeps out rare words that are toxic by chance
-    marked = words.where((F.col("bad") >= F.greatest(F.lit(least), F.lit(0.02 * n1))) & (ratio >= odds) & (F.char_length("word") > 1)).orderBy(ratio.desc(), "word").limit(lexicon)
+    marked = words.where((F.col("bad") >= F.greatest(F.lit(least), F.lit(0.02 * n1))) & (ratio >= odds) & (F.char_length("word") > 1))
     found = sorted((r["word"], np.log(r["ratio"])) for r in marked.select("word", ratio.alias("ratio")).collect())
     top = max((v for _, v in found), default=1.0)
     draft = ToxicModel([w for w, _ in found], [float(v / top) for _, v in found])
