@@ -31,6 +31,8 @@ from vecloom.llm.common import BROADCAST_BYTES, batch_of, text_batches, text_byt
 from vecloom.llm.hashing import gram_hashes, word_hashes
 
 WINDOW, K = 13, 5
+#: Hits of one fingerprint, in a text and an item, up to which each is extended along its own diagonal.
+DIAGONALS = 64
 #: Fixed by the contract: words are runs of digits, lower-case ASCII letters and bytes from 0x80 on.
 WORD_TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
@@ -61,13 +63,13 @@ class Fingerprints:
 
     def __init__(self, items: list[tuple[str, bytes]]):
         self.items = [(name, w) for name, text in items if (w := words_of(text))]
-        self.by_length: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.by_length: dict[int, dict[int, dict[int, list[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
         for i, (_, words) in enumerate(self.items):
             n = min(len(words), WINDOW)
             k, run = shape(n)
             grams = gram_hashes(word_hashes(words), k)
             for p in winnow(grams, run).tolist():
-                self.by_length[n][int(grams[p])].append((i, p))
+                self.by_length[n][int(grams[p])][i].append(p)
         self.arrays = {n: np.sort(np.fromiter(f, np.uint64, len(f))) for n, f in self.by_length.items()}
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
@@ -82,14 +84,36 @@ class Fingerprints:
                 continue
             at = np.searchsorted(known, grams[picked])
             at[at == len(known)] = 0
+            met = picked[known[at] == grams[picked]]
+            if not len(met):
+                continue
+            prints, counts = np.unique(grams[met], return_counts=True)
+            often = {i for h, c in zip(prints.tolist(), counts.tolist()) for i, own in self.by_length[n][h].items() if c * len(own) > DIAGONALS}
             done: set[tuple[int, int]] = set()
-            for p in picked[known[at] == grams[picked]].tolist():
-                for i, q in self.by_length[n][int(grams[p])]:
-                    if (i, p - q) not in done:
-                        done.add((i, p - q))
-                        self._extend(words, i, p, q, k, n, covered, found)
+            for p in met.tolist():
+                for i, own in self.by_length[n][int(grams[p])].items():
+                    for q in own if i not in often else ():
+                        if (i, p - q) not in done:
+                            done.add((i, p - q))
+                            self._extend(words, i, p, q, k, n, covered, found)
+            if often:
+                self._sweep(words, often, n, covered, found)
         return covered, found
 
+    def _sweep(self, words, often, n, covered, found) -> None:
+        """Items that repeat a fingerprint, as does the document: all windows of both, in linear time."""
+        inside: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
+        for i in often:
+            item = self.items[i][1]
+            for w in {tuple(item[q:q + n]) for q in range(len(item) - n + 1)}:
+                inside[w].append(i)
+        met: set[int] = set()
+        for p in range(len(words) - n + 1):
+            if own := inside.get(tuple(words[p:p + n])):
+                covered[p:p + n] = True
+                met.update(own)
+        found.update(self.items[i][0] for i in met)
+
     def _extend(self, words, i, p, q, k, n, covered, found) -> None:
         """Every shared span of item i and the document along the diagonal of one hit."""
         name, item = self.items[i]
@@ -156,11 +180,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     return _joined(rows, benchmark)
 
 
-def _joined(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The way for a benchmark of any size: fingerprints meet in a shuffle join.
+def _judged(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key (sha256 of a text), n_words, n_hit, n_items, items_sha256, contaminated of the texts that share a fingerprint with an item.
 
-    A document with its items is one group: it is as large as the text and the items that share a
-    fingerprint with it. Rows are numbered by content, as doc_id may repeat.
+    The way for a benchmark of any size: fingerprints meet in a shuffle join. A document with its
+    items is one group: it is as large as the text and the items that share a fingerprint with it.
+    Rows are numbered by content, as doc_id may repeat.
     """
     key = F.sha2("text", 256)
     docs = rows.select("text").withColumn("key", key).distinct()
@@ -198,13 +223,18 @@ def _joined(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ddl = "key string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     hit = docs.join(wanted.select("key").distinct(), "key", "left_semi")
-    judged = hit.groupBy("key").cogroup(wanted.groupBy("key")).applyInArrow(decide, ddl)
+    return hit.groupBy("key").cogroup(wanted.groupBy("key")).applyInArrow(decide, ddl)
+
+
+def _joined(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every row of (doc_id, text), with what _judged says of its text."""
+    judged = _judged(rows, benchmark)
 
     def count(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words_of(t.as_py())) for t in b.column(1)], pa.int64()), b.column(2)], names=["doc_id", "own_words", "key"])
 
-    counted = rows.select("doc_id", "text", key.alias("key")).mapInArrow(count, "doc_id long, own_words long, key string")
+    counted = rows.select("doc_id", "text", F.sha2("text", 256).alias("key")).mapInArrow(count, "doc_id long, own_words long, key string")
     return counted.join(judged, "key", "left").select(
         "doc_id", F.col("own_words").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
@@ -219,8 +249,9 @@ def _lengths(batches):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES // 4) -> DataFrame:
     """The rows of docs that are not contaminated, all columns as they are."""
     if not _small(benchmark, broadcast_bytes):
-        bad = contamination(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_vl_hash")).distinct()
-        return docs.withColumn("_vl_hash", F.xxhash64("text")).join(bad, "_vl_hash", "left_anti").drop("_vl_hash")
+        key = f"key_{uuid.uuid4().hex}"  # a name that no column of docs has
+        bad = _judged(docs.select(text_bytes().alias("text")), benchmark).where("contaminated").select(F.col("key").alias(key))
+        return docs.withColumn(key, F.sha2(text_bytes(), 256)).join(bad, key, "left_anti").select(*docs.columns)
     shared, name, at = _broadcast_items(benchmark), uuid.uuid4().hex, docs.columns.index("text")
 
     def run(batches):
