@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -328,6 +329,22 @@ def test_6_decontaminate(spark, docs, none, limit):
     assert kept.columns == docs.columns and kept.count() == sum(not brute_hits(t, ITEMS)[4] for _, t in TEXTS)
 
 
+def test_6_repeated_words():
+    """An item and a text that repeat a few words: the hits are whole, and their cost is not the square of the length."""
+    r, names = random.Random(12), ["aa", "bb"]
+    for size in (20, 60, 200):
+        for _ in range(20):
+            items = [(str(i), " ".join(r.choice(names[:1 + i]) for _ in range(size))) for i in range(2)]
+            text = " ".join(["zz"] * 9 + [r.choice(names) if r.random() < 0.9 else "zz" for _ in range(2 * size)] + [items[1][1]])
+            prints = decontaminate.Fingerprints([(n, t.encode()) for n, t in items])
+            assert decontaminate.judge(text.encode(), prints) == brute_hits(text, items)
+    word = ("word " * 20_000).encode()
+    prints = decontaminate.Fingerprints([("1", word)])
+    start = time.monotonic()
+    assert decontaminate.judge(word, prints)[:3] == (20_000, 20_000, 1)
+    assert time.monotonic() - start < 20
+
+
 def levenshtein_within(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -530,6 +547,7 @@ def test_10_bpe(docs, none):
     want = [(i, len(ids := lib.encode_ordinary(t)), sha(",".join(map(str, ids)).encode()), sha(t.encode())) for i, t in rows]
     got = bpe_codec.encode_decode(docs).collect()
     assert by_row(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    assert by_row(got, "doc_id", "ids", "decoded") == sorted(((i, lib.encode_ordinary(t), bytearray(t.encode())) for i, t in rows), key=repr)
     assert bpe_codec.encode_decode(none).count() == 0
     codec, r = bpe_codec.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), random.Random(6)
     for _ in range(300):  # characters of all blocks

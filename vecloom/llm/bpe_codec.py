@@ -14,19 +14,20 @@ repeat; other columns are ignored; special-token strings are ordinary text.
 from __future__ import annotations
 
 import base64
-import hashlib
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batch_of, text_batches, tokenizer_path
+from vecloom.llm.common import text_batches, tokenizer_path
 from vecloom.llm.pieces import ODD, PieceCache, any_split, pieces_of
 
-CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-CODED_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-LEAF_BYTES = 16
+CODED_DDL = "doc_id long, ids array<int>, decoded binary"
+LEAF_BYTES = 4
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 250
 NONE = 1 << 60
 
 
@@ -97,15 +98,13 @@ class TreeCodec:
         # as the library: a piece that is itself in the vocabulary is that one token
         return [self.rank[raw]] if raw in self.rank else self.encode_bytes(raw)
 
-    def _cached(self, piece: str) -> tuple[str, bytes]:
-        ids = self.encode_piece(piece)
-        return ",".join(map(str, ids)), self.decode(ids)
+    def _cached(self, piece: str) -> bytes:
+        return np.array(self.encode_piece(piece), np.int32).tobytes()
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the comma-joined ids and of the decoded bytes."""
-        coded = list(map(self.cache.__getitem__, pieces(text)))
-        ids = ",".join([c[0] for c in coded])
-        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([c[1] for c in coded])).hexdigest()
+    def coded(self, text: str) -> tuple[np.ndarray, bytes]:
+        """The ids of a text, and the bytes that they decode to."""
+        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, pieces(text))), np.int32)
+        return ids, self.decode(ids.tolist())
 
 
 @cache
@@ -141,20 +140,29 @@ def codec(path: str) -> TreeCodec:
     return TreeCodec(path)
 
 
-def encode_decode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
+def encode_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """doc_id, ids, decoded (the bytes of the ids) for every row of docs."""
     path = ranks or tokenizer_path("byte_bpe_multi_50k.tiktoken")
     text_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(path)
         for b in batches:
-            rows = [c.digests(t or "") for t in b.column(1).to_pylist()]
-            n, ids, decoded = zip(*rows) if rows else ((), (), ())
-            yield batch_of(CODED, b.column(0), list(n), list(ids), list(decoded))
+            for at in range(0, b.num_rows, OUT_ROWS):
+                part = b.slice(at, OUT_ROWS)
+                ids, decoded = zip(*[c.coded(t or "") for t in part.column(1).to_pylist()])
+                off = np.cumsum([0, *map(len, ids)])
+                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, CODED_DDL)
 
 
+def encode_decode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded, and the digests ids_sha256 and decoded_sha256 of them, for every row of docs."""
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return encode_documents(docs, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids", "decoded")
