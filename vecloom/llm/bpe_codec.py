@@ -25,7 +25,7 @@ from vecloom.llm.common import text_batches, tokenizer_path
 from vecloom.llm.pieces import ODD, PieceCache, any_split, pieces_of
 
 CODED_DDL = "doc_id long, ids array<int>, decoded binary"
-LEAF_BYTES = 4
+LEAF_BYTES = 16
 #: Rows of a batch that goes back to Spark.
 OUT_ROWS = 250
 NONE = 1 << 60
