@@ -415,6 +415,7 @@ def test_8_pii(docs, none):
     got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
     assert tuple(got[9][f"n_{k}"] for k in pii.BASE) == (1, 1, 1, 1)
     assert got[1]["spans"] == got[2]["spans"] == "" and pii.find_personal_data(none).count() == 0
+    assert all(r["n_spans"] == len(r["spans"].split(",")) * bool(r["spans"]) for r in got.values()) and got[9]["n_spans"] >= 4
     trees, cuts = pii.detector()
     text = "my ssn 123-45-6789 and figure 1999-2004, phone (212) 555-0188."
     c = pii.candidates(text)

@@ -31,8 +31,8 @@ from vecloom.llm.common import batch_of, text_batches
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("x_number", "x_email", "x_key")
-FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
-FOUND_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
+FOUND_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 #: Possessive and look-behind forms of the base patterns: the same matches, in linear time.
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -184,7 +184,7 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, examples: int = 6000, precision: float = 0.95) -> DataFrame:
-    """doc_id, counts by base kind, base_sha256 and spans (kind:start:end) for every row of docs."""
+    """doc_id, counts by base kind, base_sha256, spans (kind:start:end) and n_spans, their number, for every row of docs."""
     trees, cuts = detector(examples, precision)
     text_batches(docs.sparkSession)
 
@@ -196,9 +196,10 @@ def find_personal_data(docs: DataFrame, examples: int = 6000, precision: float =
             scores, at, rows = trees.predict(x) if len(x) else np.empty(0), 0, []
             for spans, cs in zip(base, proposed):
                 n = [sum(k == kind for k, _, _ in spans) for kind in BASE]
-                rows.append((*n, hashlib.sha256(written(spans).encode()).hexdigest(), written(choose(spans, cs, scores[at:at + len(cs)], cuts))))
+                chosen = choose(spans, cs, scores[at:at + len(cs)], cuts)
+                rows.append((*n, hashlib.sha256(written(spans).encode()).hexdigest(), written(chosen), len(chosen)))
                 at += len(cs)
-            yield batch_of(FOUND, b.column(0), *(map(list, zip(*rows)) if rows else [[]] * 6))
+            yield batch_of(FOUND, b.column(0), *(map(list, zip(*rows)) if rows else [[]] * 7))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND_DDL)
 
