@@ -27,6 +27,8 @@ a document may end with an empty text.
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from functools import reduce
 
@@ -173,11 +175,13 @@ def near_lines(firsts: DataFrame, edits: int, least: int) -> DataFrame:
     while True:
         level += 1
         met = stored(keys.withColumns({"ni": F.count_if("idx").over(w), "nt": F.count("*").over(w)}).where("ni > 0 and nt > 1"), "met")
+        docs_gc(firsts.sparkSession)
         if texts is None:  # the lines that share a segment with another one
             ids = met.select("id").distinct()
             slots, p0, p1 = pair_parities(F.col("line"))
             texts = firsts.join(ids, "id", "left_semi").select("id", "first", "line", *[letter_counts(F.col("line"), c).alias(f"l{k}") for k, c in enumerate(LETTERS)], own_segments(F.col("line"), F.char_length("line"), edits).alias("own"), F.explode(F.array(F.struct(slots))).alias("s")).select("*", F.col("s.slots").alias("slots"))
             texts = stored(texts.select("id", "first", "line", "l0", "l1", "own", p0.alias("p0"), p1.alias("p1")), "texts")
+            docs_gc(firsts.sparkSession)
         met_ = met.join(texts.drop("line"), "id")
         is_hot = F.col("ni") * F.col("nt") > HOT * HOT
         members = met.where(is_hot).count()
@@ -213,7 +217,12 @@ def near_lines(firsts: DataFrame, edits: int, least: int) -> DataFrame:
 
 
 def docs_gc(spark: SparkSession) -> None:
-    """Spark deletes a shuffle's files once its driver's objects are gone."""
+    """Spark deletes a shuffle's files once its driver's objects are gone, those that Python holds too.
+
+    py4j's own thread lets go of those that Python has dropped, and looks for them once a second.
+    """
+    gc.collect()
+    time.sleep(2)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -229,6 +238,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     firsts = lines.select("doc", "th", "pos", *ids, "line").groupBy("h1", "h2").agg(first, F.count("*").alias("copies"))
     # the number is written with its line, so it stays what it is
     firsts = stored(firsts.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.struct("first.doc", "first.th", "first.pos").alias("first"), "copies", F.col("first.line").alias("line")), "firsts")
+    docs_gc(docs.sparkSession)
     if max_edits > 0:
         late = stored(near_lines(firsts, max_edits, min_chars).withColumn("late", F.lit(True)), "later")
         ruled = firsts.join(maybe_broadcast(late, late.count(), 16), "id", "left")
