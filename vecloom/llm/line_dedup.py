@@ -219,10 +219,12 @@ def near_lines(firsts: DataFrame, edits: int, least: int) -> DataFrame:
 def docs_gc(spark: SparkSession) -> None:
     """Spark deletes a shuffle's files once its driver's objects are gone, those that Python holds too.
 
-    py4j's own thread lets go of those that Python has dropped, and looks for them once a second.
+    py4j's own thread lets go of those that Python has dropped, and looks for them once a second; with
+    a local master nothing waits for that, and the files go at a later call.
     """
-    gc.collect()
-    time.sleep(2)
+    if not spark.sparkContext.master.startswith("local"):
+        gc.collect()
+        time.sleep(2)
     spark.sparkContext._jvm.System.gc()
 
 
