@@ -244,3 +244,11 @@ def test_close_distances_tie_at_the_given_decimals(close, decimals, part):
 def test_close_groups_tie_at_the_given_decimals(close, decimals, part):
     vectors, index = close
     assert {r["partition_id"] for r in ann.assign(vectors, index(decimals), hierarchical=True).collect()} == {part}
+
+
+def test_balance_counts_ties_at_the_given_decimals(close):
+    vectors, index = close
+    row = ann.describe(ann.encoded(ann.assign(vectors, index(6)), index(6))).first()
+    assert (row["least"], row["most"], row["vectors"]) == (0, 3, 3)
+    sizes = ann.assign(vectors, index(6)).groupBy("partition_id").count().collect()
+    assert [(r["partition_id"], r["count"]) for r in sizes] == [(0, 3)]
