@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -529,6 +530,86 @@ def test_9_counts_are_those_of_whole_sequences(segment):
         assert np.allclose(g, w)
 
 
+def test_9_work_between_segments(monkeypatch):
+    """Transfer matrices, the dearest part of long texts, are made only for segments that are neither first nor last."""
+    made, transfer = [], hmm_lm.Model.transfer
+    monkeypatch.setattr(hmm_lm.Model, "transfer", lambda m, classes, first, *n: made.append(len(first)) or transfer(m, classes, first, *n))
+    r = np.random.default_rng(8)
+    n = np.array([3, 10, 20, 45])
+    hmm_lm.Model.initial(3, r.random(6), 2).expected(r.integers(0, 6, n.sum()), n, 10)
+    assert sum(made) == 3
+
+
+def test_9_nearly_impossible_steps():
+    """Vectors are scaled every few steps only; runs of the least likely moves and classes stay exact."""
+    tiny, n, segment = 1e-11, 60, 16
+    move = np.array([[1 - tiny, tiny], [tiny, 1 - tiny]])
+    emit = np.array([[1 - tiny, tiny], [tiny, 1 - tiny]])
+    m, s = hmm_lm.Model(np.array([1 - tiny, tiny]), move, emit), np.arange(n) % 2
+    logs, a = 0.0, m.start
+    for t, o in enumerate(s):
+        a = (a @ move if t else a) * emit[:, o]
+        logs, a = logs + np.log10(a.sum()), a / a.sum()
+    assert m.log10(s, np.array([n]))[0] == pytest.approx(logs)
+    for size in (segment, n):
+        starts, moves, emits = m.expected(s, np.array([n]), size)
+        assert np.isfinite(moves).all() and (starts.sum(), moves.sum(), emits.sum()) == pytest.approx((1, n - 1, n))
+        assert emits.sum(0) == pytest.approx(np.bincount(s))
+
+
+def test_9_words_are_those_of_bytes_split(monkeypatch):
+    """Words, numbers, hashes and classes against plain Python, for odd bytes too; packed numbers come back and are small."""
+    r = random.Random(4)
+    texts = [b"", b"  ", b" a b ", b"\x1c\x1d a\x85b\xc2\xa0c\xe3\x80\x80d", b"A\x0bB\x0cC\rD\tE\nF", b"\xff\xfe X \xff", "É ß ab ABC abcd".encode(), b"\x00 \x00"]
+    texts += [bytes(r.choice(b"aB \t\n\x1f\x20\xe9") for _ in range(r.randrange(30))) for _ in range(200)]
+    words = hmm_lm._Words()
+    words.add(pa.array(texts[:50], pa.binary()))
+    words.add(pa.array(texts, pa.binary()).slice(50))
+    lengths, numbers, hashes, classes = words.numbered()
+    flat, first = [w for t in texts for w in t.lower().split()], {}
+    assert lengths.tolist() == [len(t.split()) for t in texts]
+    assert numbers.tolist() == [first.setdefault(w, len(first)) for w in flat]
+    assert hashes.tolist() == hmm_lm.hashes_of(list(first)).tolist()
+    assert classes.tolist() == [hmm_lm.class_of(w) for w in first]
+    for limit in ("CHUNK_TOKENS", "CHUNK_BYTES"):  # a count is sent at once or in parts
+        monkeypatch.setattr(hmm_lm, limit, 100)
+        counts = defaultdict(int)
+        for b in hmm_lm._count(pa.RecordBatch.from_arrays([pa.array(texts[lo:lo + 20], pa.binary())], names=["t"]) for lo in range(0, len(texts), 20)):
+            for h, cls, c in zip(*(x.to_pylist() for x in b.columns)):
+                counts[h, cls] += c
+        assert counts == Counter({(int(hmm_lm.hashes_of([w])[0]), hmm_lm.class_of(w)): c for w, c in Counter(flat).items()}) + Counter({(hmm_lm.END_HASH, 0): len(texts)})
+        monkeypatch.undo()
+    empty = hmm_lm._Words()
+    empty.add(pa.array([b"", b" "], pa.binary()))
+    assert [x.tolist() for x in empty.numbered()] == [[0, 0], [], [], []]
+    for kind in (np.uint16, np.uint32):
+        for n in (0, 1, 1000):
+            x = np.array([r.randrange(1000) for _ in range(n)], kind)
+            packed = hmm_lm.pack(x)
+            assert hmm_lm.unpack(packed).tolist() == x.tolist() and len(packed) < 2 * n + 30
+
+
+def test_9_chunks_and_pools_do_not_matter(spark, monkeypatch):
+    """The same scores where a chunk ends with every batch and every batch is scored alone."""
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(r.randrange(0, 80)))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    scores = lambda: {x["doc_id"]: x[1:] for x in hmm_lm.score_documents(docs, passes=1).collect()}
+    want = scores()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    for name, value in (("CHUNK_TOKENS", 100), ("POOL_TOKENS", 50)):
+        monkeypatch.setattr(hmm_lm, name, value)
+    try:
+        got = scores()
+    finally:
+        spark.conf.set(key, before)
+    assert got.keys() == want.keys()
+    for i, x in got.items():
+        assert x == pytest.approx(want[i])
+
+
 def test_9_whole_query_equals_brute_force(spark):
     """Scores of the query against a plain recursion, sequence by sequence, with frequent words and a text of 1,200 tokens."""
     r = random.Random(3)

@@ -22,10 +22,10 @@ is 0.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import drop_stored, stored, text_batches, text_bytes
 
 STATES, CLASSES, PASSES = 8, 1024, 4
-CHUNK_TOKENS = 4_000_000
-#: Tokens of a segment, of a block whose forward vectors are held at once, and of texts gathered for a pass.
-SEGMENT, BLOCK_TOKENS, POOL_TOKENS = 1024, 1 << 17, 1 << 20
-#: Distinct words that a task counts before it sends them.
-WORDS_HELD = 500_000
+#: A chunk ends with the batch that has so many tokens or bytes.
+CHUNK_TOKENS, CHUNK_BYTES = 4_000_000, 1 << 27
+#: Tokens of a segment, of a block whose forward vectors are held at once, and of texts gathered for a pass or for scores.
+SEGMENT, BLOCK_TOKENS, POOL_TOKENS = 1024, 1 << 17, 1 << 21
+#: Steps after which forward and backward vectors are scaled again; the product of so many smoothed probabilities stays far above 1e-308.
+RESCALE = 8
 END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(b"end", 1)).view(np.int64))
 
 
@@ -51,29 +52,80 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+#: The crc32 register after one byte, by the byte that goes in.
+CRC_TABLE = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
+
+
+def classes_of(data: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """class_of for words of n bytes, at least one, that end at ends."""
+    crc = np.full(len(n), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        step = CRC_TABLE[(crc ^ data[np.maximum(ends - back, 0)]) & 0xFF] ^ (crc >> 8)
+        crc = np.where(n >= back, step, crc)
+    return 1 + (crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(CLASSES - 1)
+
+
+class _Words:
+    """Words of gathered texts: numbers in order of first occurrence, hashes and classes of the distinct ones."""
+
+    def __init__(self):
+        self.values, self.lengths, self.total, self.size = [], [], 0, 0
+
+    def add(self, texts: pa.Array) -> None:
+        """Texts are split at bytes 0x20 and 0x09 to 0x0D, as bytes.split does, whatever their other bytes are."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+        words, at = lists.values, lists.offsets.to_numpy()
+        some = pc.binary_length(words).to_numpy() > 0
+        if not some.all():  # a text that is empty, or begins or ends in space
+            words, at = words.filter(pa.array(some)), np.concatenate([[0], np.cumsum(some)])[at]
+        self.values.append(words)
+        self.lengths.append(np.diff(at).astype(np.int64))
+        self.total += len(words) + len(texts)
+        self.size += texts.nbytes
+
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text, the number of each word, and by number hashes and classes."""
+        chunks = pa.chunked_array(self.values, pa.string()).dictionary_encode().chunks or [pa.array([], pa.string()).dictionary_encode()]
+        words = chunks[-1].dictionary
+        _, at, data = words.buffers()
+        at = np.frombuffer(at, np.int32)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        raw = data.to_pybytes() if data else b""
+        hashes = hashes_of([raw[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())])
+        classes = classes_of(np.frombuffer(raw, np.uint8), at[1:], np.diff(at))
+        return np.concatenate(self.lengths), np.concatenate([c.indices.to_numpy() for c in chunks]), hashes, classes
+
+
 def _count(batches):
-    """Words of training texts with their counts; a task sends a word once, or once in WORDS_HELD distinct ones."""
-    counts: Counter = Counter()
-    ends = 0
+    """Words of training texts with their counts; a task sends a word once, or once a chunk."""
 
     def send():
-        words = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes_of(words), END_HASH)), pa.array([*map(class_of, words), 0], pa.int32()), pa.array([*counts.values(), ends], pa.int64())], names=["h", "cls", "c"])
+        lengths, numbers, hashes, classes = words.numbered()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes, END_HASH)), pa.array(np.append(classes, 0).astype(np.int32)), pa.array(np.append(np.bincount(numbers, minlength=len(hashes)), len(lengths)))], names=["h", "cls", "c"])
 
+    words = _Words()
     for b in batches:
-        for text in b.column(0):
-            counts.update(text.as_py().lower().split())
-            ends += 1
-        if len(counts) >= WORDS_HELD:
+        words.add(b.column(0))
+        if words.total >= CHUNK_TOKENS or words.size >= CHUNK_BYTES:
             yield from send()
-            counts.clear()
-            ends = 0
-    if ends:
+            words = _Words()
+    if words.total:
         yield from send()
 
 
+CODEC = pa.Codec("zstd", compression_level=1)
+
+
 def pack(numbers: np.ndarray) -> bytes:
-    return zlib.compress(numbers.tobytes(), 1)
+    """Width, count and the compressed low bytes of all numbers, then their next bytes and so on."""
+    width = numbers.itemsize
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + len(numbers).to_bytes(8, "little") + CODEC.compress(planes, asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    width, n = packed[0], int.from_bytes(packed[1:9], "little")
+    planes = np.frombuffer(CODEC.decompress(packed[9:], n * width), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"u{width}").ravel()
 
 
 # rows of documents have doc_id .. classes; rows of a chunk's dictionary have slot and h
@@ -81,52 +133,46 @@ CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out",
 CHUNKS_DDL = "chunk long, doc_id long, held_out boolean, tokens binary, classes binary, slot int, h long"
 
 
-class _Chunk:
-    def __init__(self, number: int):
-        self.number, self.slots, self.rows, self.total = number, {None: 0}, [], 0
-
-    def add(self, doc_id, held: bool, text: bytes) -> None:
-        slots, words = self.slots, text.lower().split()
-        for w in words:
-            if w not in slots:
-                slots[w] = len(slots)
-        tokens = np.fromiter((slots[w] for w in words), np.int32, len(words))
-        self.rows.append((doc_id, held, np.append(tokens, np.int32(0))))
-        self.total += len(words) + 1
-
-    def batches(self, own: np.ndarray):
-        words = list(self.slots)[1:]
-        hashes = np.append(END_HASH, hashes_of(words))
-        classes = np.array([0, *map(class_of, words)], np.uint32)
-        if len(own):
-            at = np.searchsorted(own, hashes)
-            at[at == len(own)] = 0
-            classes = np.where(own[at] == hashes, CLASSES + at, classes).astype(np.uint32)
-        none = pa.nulls
-        for lo in range(0, len(self.rows), 256):
-            part = self.rows[lo:lo + 256]
-            k = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, self.number)), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.bool_()), pa.array([pack(r[2]) for r in part], pa.binary()), pa.array([pack(classes[r[2]]) for r in part], pa.binary()), none(k, pa.int32()), none(k, pa.int64())], schema=CHUNKS)
-        for lo in range(0, len(hashes), 50_000):
-            k = len(hashes[lo:lo + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, self.number)), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.binary()), none(k, pa.binary()), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(hashes[lo:lo + k])], schema=CHUNKS)
+def _chunk(number: int, words: _Words, ids: list, held: list, own: np.ndarray):
+    """Rows of a chunk's documents, then of its dictionary; slot 0 is the end token's."""
+    lengths, numbers, hashes, classes = words.numbered()
+    hashes, classes = np.append(END_HASH, hashes), np.append(0, classes)
+    if len(own):
+        at = np.searchsorted(own, hashes)
+        at[at == len(own)] = 0
+        classes = np.where(own[at] == hashes, CLASSES + at, classes)
+    classes = classes.astype(np.uint16 if CLASSES + len(own) <= 1 << 16 else np.uint32)
+    ends = np.cumsum(lengths + 1)
+    tokens, word = np.zeros(ends[-1], np.uint32), np.ones(ends[-1], bool)
+    word[ends - 1] = False
+    tokens[word] = numbers + 1
+    runs = list(zip((ends - lengths - 1).tolist(), ends.tolist()))
+    of_class = classes[tokens]
+    none = pa.nulls
+    for lo in range(0, len(runs), 256):
+        part = runs[lo:lo + 256]
+        k = len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), pa.array(ids[lo:lo + k], pa.int64()), pa.array(held[lo:lo + k], pa.bool_()), pa.array([pack(tokens[i:j]) for i, j in part], pa.binary()), pa.array([pack(of_class[i:j]) for i, j in part], pa.binary()), none(k, pa.int32()), none(k, pa.int64())], schema=CHUNKS)
+    for lo in range(0, len(hashes), 50_000):
+        k = len(hashes[lo:lo + 50_000])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.binary()), none(k, pa.binary()), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(hashes[lo:lo + k])], schema=CHUNKS)
 
 
 def _chunked(shared):
     def run(batches):
         own = shared.value
         number = TaskContext.get().partitionId() << 32
-        now = _Chunk(number)
+        words, ids, held = _Words(), [], []
         for b in batches:
-            ids, held = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, text in enumerate(b.column(2)):
-                now.add(ids[i], held[i], text.as_py())
-                if now.total >= CHUNK_TOKENS:
-                    yield from now.batches(own)
-                    number += 1
-                    now = _Chunk(number)
-        if now.rows:
-            yield from now.batches(own)
+            words.add(b.column(2))
+            ids += b.column(0).to_pylist()
+            held += b.column(1).to_pylist()
+            if words.total >= CHUNK_TOKENS or words.size >= CHUNK_BYTES:
+                yield from _chunk(number, words, ids, held, own)
+                number += 1
+                words, ids, held = _Words(), [], []
+        if ids:
+            yield from _chunk(number, words, ids, held, own)
 
     return run
 
@@ -148,39 +194,54 @@ class Model:
     def log10(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each sequence of a flat array, by the scaled forward recursion."""
         order = np.argsort(-lengths, kind="stable")
-        first = (np.cumsum(lengths) - lengths)[order]
-        alive = np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), side="right")
-        total, by_class = np.zeros(len(lengths)), np.ascontiguousarray(self.emit.T)
-        a = np.broadcast_to(self.start, (len(lengths), len(self.start)))
-        for t, n in enumerate(alive):
-            a = (a[:n] @ self.move if t else a[:n]) * by_class[classes[first[:n] + t]]
-            scale = a.sum(1)
-            total[:n] += np.log10(scale)
-            a = a / scale[:, None]
         out = np.empty(len(lengths))
-        out[order] = total
+        out[order] = self._forward(classes, (np.cumsum(lengths) - lengths)[order], lengths[order], np.repeat(self.start[None], len(lengths), 0))[1]
         return out
 
-    def transfer(self, classes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """For runs classes[first:first + n]: the matrix that takes the state before a run to the state after it, up to a factor."""
-        order = np.argsort(-n, kind="stable")
-        first, alive = first[order], _alive(n[order])
-        states, by_class = len(self.start), np.ascontiguousarray(self.emit.T)
-        m = np.broadcast_to(np.eye(states), (len(n), states, states)).copy()
-        for t, k in enumerate(alive):
-            m[:k] = (m[:k].reshape(-1, states) @ self.move).reshape(k, states, states) * by_class[classes[first[:k] + t]][:, None, :]
-            if t % 8 == 7:
-                m[:k] /= m[:k].sum((1, 2), keepdims=True)
-        out = np.empty_like(m)
-        out[order] = m / m.sum((1, 2), keepdims=True)
-        return out
+    def _forward(self, classes: np.ndarray, first: np.ndarray, n: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For runs in order of falling length and the states of their first tokens: the states at their ends, up to a factor, and log10 likelihoods."""
+        alive, by_class = _alive(n), np.ascontiguousarray(self.emit.T)
+        total, ends = np.zeros(len(n)), np.empty((len(n), len(self.start)))
+        for t, (k, on) in enumerate(zip(alive, [*alive[1:], 0])):
+            a = np.dot(a[:k], self.move) if t else a
+            a *= by_class.take(classes[first[:k] + t], axis=0)
+            if t % RESCALE == RESCALE - 1 or on < k:
+                c = a.sum(1)
+                total[:k] += np.log10(c)
+                a /= c[:, None]
+                ends[on:k] = a[on:]
+        return ends, total
+
+    def _backward(self, classes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For runs in order of falling length, with nothing behind them: the backward vectors before them, up to a factor."""
+        alive, by_class, back = _alive(n), np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
+        b = np.ones((0, len(self.start)))
+        for t in range(len(alive) - 1, -1, -1):
+            k = alive[t]
+            if len(b) < k:  # runs that end here
+                b = np.concatenate([b, np.ones((k - len(b), len(self.start)))])
+            b = np.dot(b * by_class.take(classes[first[:k] + t], axis=0), back)
+            if t % RESCALE == 0:
+                b /= b.sum(1)[:, None]
+        return b
+
+    def transfer(self, classes: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+        """For runs classes[first:first + length]: the matrix that takes the state before a run to the state after it, up to a factor."""
+        move = np.ascontiguousarray(self.move.T)
+        m = np.repeat(np.eye(len(move))[:, :, None], len(first), 2)
+        for t in range(length):
+            m = move @ m
+            m *= self.emit.take(classes[first + t], axis=1)
+            if t % RESCALE == RESCALE - 1 or t == length - 1:
+                m /= m.sum((0, 1))
+        return m.transpose(2, 0, 1)
 
     def expected(self, classes: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions of whole sequences (forward and backward).
 
         A long sequence is worked on in segments side by side. The state before each segment and the
-        backward vector behind it come from the products of the segments' transfer matrices, so the
-        counts are those of the uncut sequence.
+        backward vector behind it come from the first segment's forward vector, the last one's backward
+        vector and the transfer matrices of those between, so the counts are those of the uncut sequence.
         """
         states = len(self.start)
         begin = np.cumsum(lengths) - lengths
@@ -189,75 +250,85 @@ class Model:
         nth = np.arange(len(seq)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = begin[seq] + nth * segment
         n = np.minimum(segment, lengths[seq] - nth * segment)
+        head, tail = nth == 0, nth == pieces[seq] - 1
         enter, leave = np.zeros((len(seq), states)), np.ones((len(seq), states))
-        cut = np.nonzero(pieces[seq] > 1)[0]
-        if len(cut):
+        if not (head & tail).all():
             m = np.empty((len(seq), states, states))
-            m[cut] = self.transfer(classes, first[cut], n[cut])
-            heads = cut[nth[cut] == 0]
-            # a first segment begins with the start probabilities, not with a move
-            after = self.start * self.emit.T[classes[first[heads]]]
-            after = after / after.sum(1, keepdims=True)
-            long = n[heads] > 1
-            if long.any():
-                rest = self.transfer(classes, first[heads[long]] + 1, n[heads[long]] - 1)
-                after[long] = np.einsum("ni,nij->nj", after[long], rest)
-            at = heads
+            mid = np.nonzero(~head & ~tail)[0]
+            m[mid] = self.transfer(classes, first[mid], segment)
+            at = np.nonzero(head & ~tail)[0]
+            after = self._forward(classes, first[at], n[at], np.repeat(self.start[None], len(at), 0))[0]
             while len(at):
-                after = after / after.sum(1, keepdims=True)
-                more = nth[at] + 1 < pieces[seq[at]]
-                at, after = at[more] + 1, after[more]
+                at = at + 1
                 enter[at] = after
-                after = np.einsum("ni,nij->nj", after, m[at])
-            at = cut[nth[cut] == pieces[seq[cut]] - 1]
-            behind = np.ones((len(at), states))
+                more = ~tail[at]
+                at = at[more]
+                after = np.einsum("ni,nij->nj", after[more], m[at])
+                after = after / after.sum(1, keepdims=True)
+            at = np.nonzero(tail & ~head)[0]
+            at = at[np.argsort(-n[at], kind="stable")]
+            behind = self._backward(classes, first[at], n[at])
             while len(at):
-                more = nth[at] > 0
-                at, behind = at[more], behind[more]
-                behind = np.einsum("nij,nj->ni", m[at], behind)
-                behind = behind / behind.sum(1, keepdims=True)
                 at = at - 1
                 leave[at] = behind
+                more = ~head[at]
+                at = at[more]
+                behind = np.einsum("nij,nj->ni", m[at], behind[more])
+                behind = behind / behind.sum(1, keepdims=True)
         sums = np.zeros(states), np.zeros((states, states)), np.zeros_like(self.emit)
         order = np.argsort(-n, kind="stable")
         bounds = np.searchsorted(np.cumsum(n[order]), np.arange(0, n.sum() + 1, BLOCK_TOKENS)[1:])
         for part in np.split(order, np.unique(bounds)):
             if len(part):
-                for total, x in zip(sums, self._block(classes, first[part], n[part], nth[part] == 0, enter[part], leave[part])):
+                for total, x in zip(sums, self._block(classes, first[part], n[part], head[part], enter[part], leave[part])):
                     total += x
         return sums[0], sums[1] * self.move, sums[2]
 
     def _block(self, classes, first, n, head, enter, leave) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward and backward over runs in order of falling length; moves without their probabilities."""
-        alive, by_class, move = _alive(n), np.ascontiguousarray(self.emit.T), self.move
-        forward, seen, scales = [], [], []
-        a = np.where(head[:, None], self.start, enter @ move)
-        for t, k in enumerate(alive):
-            obs = classes[first[:k] + t]
-            e = by_class[obs]
-            a = (a[:k] @ move if t else a) * e
-            c = a.sum(1, keepdims=True)
-            a = a / c
-            forward.append(a)
-            seen.append((obs, e))
-            scales.append(c)
-        starts, moves, gammas = np.zeros(len(self.start)), np.zeros_like(move), []
-        b = np.ones((0, len(self.start)))
-        for t in range(len(alive) - 1, -1, -1):
+        """Forward and backward over runs in order of falling length; moves without their probabilities.
+
+        Rows are the runs' first tokens, then their second ones and so on. A class's factor cancels in
+        expected counts, so emissions are shares of their class among the states.
+        """
+        alive, states, back = _alive(n), len(self.start), np.ascontiguousarray(self.move.T)
+        at = np.cumsum(alive) - alive
+        step = np.repeat(np.arange(len(alive)), alive)
+        obs = classes[first[np.arange(len(step)) - at[step]] + step].astype(np.int64)
+        among = self.emit.sum(0)
+        e = np.ascontiguousarray((self.emit / np.where(among > 0, among, 1)).T).take(obs, axis=0)
+        a, b, scales, ones = np.empty_like(e), np.empty_like(e), {}, np.ones((states, states))
+        bounds = list(zip(at.tolist(), (at + alive).tolist()))
+        np.multiply(np.where(head[:, None], self.start, enter @ self.move), e[:len(n)], out=a[:len(n)])
+        before = a[:len(n)]
+        for t, (lo, hi) in enumerate(bounds):
+            now = a[lo:hi]
+            if t:
+                np.dot(before[:hi - lo], self.move, out=now)
+                now *= e[lo:hi]
+            if t % RESCALE == 0:
+                scales[t] = np.dot(now, ones)
+                now /= scales[t]
+            before = now
+        last = at[n - 1] + np.arange(len(n))
+        b[last] = leave / (a[last] * leave).sum(1, keepdims=True)
+        for t in range(len(bounds) - 1, -1, -1):
+            lo, hi = bounds[t]
+            eb = np.multiply(e[lo:hi], b[lo:hi], out=e[lo:hi])
+            if t in scales:
+                eb /= scales[t]
+            if t:
+                lo, hi = bounds[t - 1][0], bounds[t - 1][0] + hi - lo
+                np.dot(eb, back, out=b[lo:hi])
+        moves = enter[~head].T @ e[:len(n)][~head]
+        # steps of as many runs as the step before lie as far behind it, so they go at once
+        turn = np.nonzero(np.diff(alive, prepend=alive[0]))[0].tolist()
+        for t, u in zip([0, *turn], [*turn, len(alive)]):
             k = alive[t]
-            if len(b) < k:  # runs that end here
-                ends = leave[len(b):k]
-                b = np.concatenate([b, ends / (forward[t][len(b):] * ends).sum(1, keepdims=True)])
-            gammas.append(forward[t] * b)
-            eb = seen[t][1] * b / scales[t]
             if t:
-                moves += forward[t - 1][:k].T @ eb
-                b = eb @ move.T
-            else:
-                starts = gammas[-1][head].sum(0)
-                moves += enter[~head].T @ eb[~head]
-        gamma, obs = np.concatenate(gammas), np.concatenate([o for o, _ in reversed(seen)])
-        return starts, moves, np.stack([np.bincount(obs, g, self.emit.shape[1]) for g in gamma.T])
+                moves += a[at[t - 1]:at[t - 1] + k].T @ e[at[t]:at[t] + k]
+            moves += a[at[t]:at[u - 1]].T @ e[at[t] + k:at[u - 1] + k]
+        a *= b
+        return a[:len(n)][head].sum(0), moves, np.stack([np.bincount(obs, g, self.emit.shape[1]) for g in np.ascontiguousarray(a.T)])
 
     def next(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, smooth: float = 0.1) -> Model:
         def norm(x):
@@ -272,10 +343,6 @@ def _alive(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), side="right")
 
 
-def _unpack(column, kind) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(x.as_buffer()), kind) for x in column]
-
-
 def _expect(shared):
     """One row for each parameter and task; whole texts, some POOL_TOKENS of them at a time."""
 
@@ -289,7 +356,8 @@ def _expect(shared):
                 total += x
 
         for b in batches:
-            for s in _unpack(b.column(0), np.uint32):
+            for packed in b.column(0).to_pylist():
+                s = unpack(packed)
                 held.append(s)
                 n += len(s)
                 if n >= POOL_TOKENS:
@@ -327,38 +395,58 @@ def _score(shared, n_all: int, v_all: int):
 
     def run(batches):
         m, share = shared.value
-        now, count, held = None, None, []
+        now, count, logs = None, None, None
+        pool, pooled = [], 0
 
         def known(b) -> None:
-            nonlocal count
+            nonlocal count, logs
             slots, c = b.column(1).to_numpy(), b.column(2).to_numpy()
             if len(slots):
                 if len(count) <= slots.max():
                     count = np.concatenate([count, np.zeros(max(int(slots.max()) + 1 - len(count), len(count)), np.int64)])
                 count[slots] = c
-
-        def score(b) -> pa.RecordBatch:
-            tokens = _unpack(b.column(5), np.int32)
+                logs = None
+
+        def gather(b) -> None:
+            """All but the model's part of the texts' scores, which goes over many texts at once."""
+            nonlocal logs, pooled
+            if logs is None:
+                logs = np.log10(count + 1.0)
+            tokens = [unpack(x) for x in b.column(5).to_pylist()]
             flat, n = np.concatenate(tokens), np.array([len(t) for t in tokens])
-            classes = np.concatenate(_unpack(b.column(6), np.uint32))
-            c = count[np.minimum(flat, len(count) - 1)] * (flat < len(count))
+            classes = np.concatenate([unpack(x) for x in b.column(6).to_pylist()])
+            seen, slot = flat < len(count), np.minimum(flat, len(count) - 1)
             at = np.cumsum(n) - n
-            each = np.log10(c + 1.0)
+            each = logs[slot] * seen
             base = np.add.reduceat(each - np.log10(n_all + v_all + 1.0), at)
-            total = m.log10(classes, n) + np.add.reduceat(each - share[classes], at)
-            return pa.RecordBatch.from_arrays([b.column(3), b.column(4), pa.array(n, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(total)], schema=SCORED)
+            hits = np.add.reduceat(((count[slot] > 0) & seen).astype(np.int64), at)
+            pool.append((b.column(3), b.column(4), n, hits, base, np.add.reduceat(each - share[classes], at), classes))
+            pooled += len(flat)
+
+        def score():
+            nonlocal pooled
+            ids, held, *numbers, classes = zip(*pool)
+            n, hits, base, words = map(np.concatenate, numbers)
+            total = m.log10(np.concatenate(classes), n) + words
+            pool.clear()
+            pooled = 0
+            yield from pa.Table.from_arrays([pa.chunked_array(ids), pa.chunked_array(held), pa.array(n, pa.int64()), pa.array(hits), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(total)], schema=SCORED).combine_chunks().to_batches()
 
         for b in batches:
             chunks = b.column(0).to_numpy()
             for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.nonzero(np.diff(chunks))[0] + 1, [len(chunks)]]) if len(chunks) else np.zeros(1, int))):
                 if chunks[lo] != now:
-                    now, count = chunks[lo], np.zeros(1, np.int64)
+                    now, count, logs = chunks[lo], np.zeros(1, np.int64), None
                 part = b.slice(lo, hi - lo)
                 texts = part.column(1).is_null().to_numpy(zero_copy_only=False)
                 if not texts.all():
                     known(part.filter(pa.array(~texts)))
                 if texts.any():
-                    yield score(part.filter(pa.array(texts)))
+                    gather(part.filter(pa.array(texts)))
+                if pooled >= POOL_TOKENS:
+                    yield from score()
+        if pool:
+            yield from score()
 
     return run
 
