@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 import corpus_pipeline
 from vecloom.llm import bpe_codec, decontaminate, hmm_lm, line_dedup, media, ngram_join, pii, token_count, token_output, toxicity
 from vecloom.llm.boosting import BoostedTrees
-from vecloom.llm.common import scratch
+from vecloom.llm.common import released, scratch
 from vecloom.llm.components import components
 
 DDL = "doc_id long, text string, score double, token string, cell string, lines string, label string"
@@ -114,6 +115,49 @@ def test_2_one_large_near_group(spark, monkeypatch, cells):
     assert by_row(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows), key=repr)
 
 
+def test_2_sketch_holds_its_shingles_once(monkeypatch):
+    """The sketch's counts, in the memory of its slots, one local count and the marks of that."""
+    monkeypatch.setattr(ngram_join, "LOCAL_SHINGLES", 1_000_000)
+    r = random.Random(11)
+    texts = [b" ".join(b"%d" % r.randrange(60) if i % 3 else b"%d" % r.getrandbits(40) for _ in range(2000)) for i in range(1100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    tracemalloc.start()
+    out = list(ngram_join._sketch_rows(2)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, local, n = Counter(), Counter(), 0
+    for i, t in enumerate(texts):
+        u = ngram_join.shingles(t, 2).tolist()
+        local.update(u)
+        n += len(u)
+        if n >= ngram_join.LOCAL_SHINGLES or i == len(texts) - 1:
+            for h, c in local.items():
+                if c > 1:
+                    want[h & (ngram_join.SKETCH - 1)] += c
+            local, n = Counter(), 0
+    assert {k: v for b in out for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())} == want
+    assert max(b.num_rows for b in out) <= 1 << 16
+    assert peak < 8 * ngram_join.SKETCH + 16 * ngram_join.LOCAL_SHINGLES
+
+
+def test_2_whole_sets_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "OUT_SHINGLES", 500)
+    texts = [prose(200).encode() for _ in range(10)]
+    sets = [ngram_join.shingles(t) for t in texts]
+    rows = pa.RecordBatch.from_arrays([pa.array([ngram_join.set_hash(u) for u in sets]), pa.array(range(10)), pa.array([[i, i + 1] for i in range(10)]), pa.array(texts)], names=["h1", "node", "cells", "text"])
+    out = list(ngram_join._whole_sets(5)([rows]))
+    assert max(len(b.column(4).flatten()) for b in out) < 500 + 200
+    got = [(r["cell"], r["node"], r["shingles"]) for b in out for r in b.to_pylist()]
+    assert got == [(i + k, i, u.view(np.int64).tolist()) for i, u in enumerate(sets) for k in (0, 1)]
+
+
+def test_workers_forget_other_operators(monkeypatch):
+    """A worker's next task doesn't hold what another operator's tasks have kept."""
+    bpe_codec.codec(bpe_codec.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    decontaminate._PRINTS["x"] = None
+    assert list(released(lambda batches: iter([bpe_codec.codec.cache_info().currsize, len(decontaminate._PRINTS)]))([])) == [0, 0]
+
+
 @pytest.mark.parametrize("cells", [None, 8])
 def test_2_every_link(spark, monkeypatch, cells):
     if cells:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import text_batches, tokenizer_path
+from vecloom.llm.common import KEPT, text_batches, tokenizer_path
 from vecloom.llm.pieces import ODD, PieceCache, any_split, pieces_of
 
 CODED_DDL = "doc_id long, ids array<int>, decoded binary"
@@ -140,6 +140,9 @@ def codec(path: str) -> TreeCodec:
     return TreeCodec(path)
 
 
+KEPT.append(codec.cache_clear)
+
+
 def encode_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, ids, decoded (the bytes of the ids) for every row of docs."""
     path = ranks or tokenizer_path("byte_bpe_multi_50k.tiktoken")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that an operator of this package broadcasts.
 BROADCAST_BYTES = 16 << 20
+#: Empty what modules keep in a worker from task to task. Each module adds its own where it is imported.
+KEPT: list[Callable[[], None]] = []
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -68,6 +74,38 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def release() -> None:
+    """Give this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """Drop what other operators' tasks have kept in this worker."""
+    if KEPT:
+        for clear in KEPT:
+            clear()
+        release()
+
+
+def released(run):
+    """run, a function for mapInArrow, without the memory of tasks before it, and leaving none.
+
+    Spark keeps idle workers for a minute, so what one stage's tasks held would count in the next stages, too.
+    """
+
+    def whole(batches):
+        forget()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def text_bytes(text: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null is empty."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BROADCAST_BYTES, batch_of, text_batches, text_bytes
+from vecloom.llm.common import BROADCAST_BYTES, KEPT, batch_of, text_batches, text_bytes
 from vecloom.llm.hashing import gram_hashes, word_hashes
 
 WINDOW, K = 13, 5
@@ -154,6 +154,7 @@ def _broadcast_items(benchmark: DataFrame):
 
 
 _PRINTS: dict[str, Fingerprints] = {}
+KEPT.append(_PRINTS.clear)
 
 
 def _prints(shared, name: str) -> Fingerprints:

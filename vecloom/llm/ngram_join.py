@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vecloom.llm.common import drop_stored, maybe_broadcast, stored, text_batches, text_bytes
+from vecloom.llm.common import drop_stored, maybe_broadcast, released, stored, text_batches, text_bytes
 from vecloom.llm.components import components
 from vecloom.llm.hashing import gram_hashes, word_hashes
 
@@ -42,6 +42,8 @@ CELL_MEMBERS, GROUP_MEMBERS, CELL_PAIRS = 1024, 64, 200_000
 #: Shingles that one local count covers; the sketch holds those that it saw more than once. It only orders
 #: shingles, for which any order is right.
 LOCAL_SHINGLES = 2_000_000
+#: Rows of the sketch, and shingles of whole sets, that go to Spark in one batch, about.
+OUT_ROWS, OUT_SHINGLES = 1 << 16, 1 << 19
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -59,30 +61,43 @@ def needed(a, b, percent: int):
 
 def _sketch_rows(words: int):
     def run(batches):
-        counts, held, n = np.zeros(SKETCH, np.int64), [], 0
+        counts, held, n = np.zeros(SKETCH, np.int64), np.empty(LOCAL_SHINGLES + OUT_ROWS, np.uint64), 0
 
         def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            np.add.at(counts, (u[c > 1] & np.uint64(SKETCH - 1)).astype(np.int64), c[c > 1])
+            # in place and in blocks: a few arrays of this size would be most of the worker's memory
+            own = held[:n]
+            own.sort()
+            same = own[1:] == own[:-1]
+            repeats = np.zeros(n, bool)
+            repeats[1:] = same
+            repeats[:-1] |= same
+            for at in range(0, n, OUT_ROWS):
+                u = own[at:at + OUT_ROWS][repeats[at:at + OUT_ROWS]]
+                np.add.at(counts, (u & np.uint64(SKETCH - 1)).astype(np.int64), 1)
 
         for b in batches:
             for t in b.column(0):
-                held.append(shingles(t.as_py(), words))
-                n += len(held[-1])
+                u = shingles(t.as_py(), words)
+                if n + len(u) > len(held):
+                    held = np.concatenate([held[:n], u])
+                held[n:n + len(u)] = u
+                n += len(u)
                 if n >= LOCAL_SHINGLES:
                     flush()
-                    held, n = [], 0
-        if held:
+                    n = 0
+        if n:
             flush()
-        at = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
+        found = np.nonzero(counts)[0]
+        for i in range(0, len(found), OUT_ROWS):
+            at = found[i:i + OUT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
 
     return run
 
 
 def frequency_sketch(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     """The power of two of each slot's count; its size is fixed, whatever the number of documents."""
-    found = rows.select("text").mapInArrow(_sketch_rows(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 8")
+    found = rows.select("text").mapInArrow(released(_sketch_rows(words)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 8")
     table = found.select("slot", F.floor(F.log2("n")).cast("byte").alias("power")).toArrow()
     out = np.zeros(SKETCH, np.uint8)
     out[table.column("slot").to_numpy()] = table.column("power").to_numpy()
@@ -294,6 +309,12 @@ def _whole_sets(words: int):
     A row whose key only collides with a representative's is left out.
     """
 
+    def batch(h1, node, rows, flat, off):
+        values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
+        at = pa.array([i for _, i in rows], pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), node.take(at), pa.nulls(len(rows), pa.list_(pa.int64())), h1.take(at), lists], names=["cell", "node", "partners", "h1", "shingles"])
+
     def run(batches):
         for b in batches:
             h1, node, cells, texts = (b.column(i) for i in range(4))
@@ -305,10 +326,10 @@ def _whole_sets(words: int):
                         rows.append((cell, i))
                         flat.append(u)
                         off.append(off[-1] + len(u))
-            values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
-            at = pa.array([i for _, i in rows], pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), node.take(at), pa.nulls(len(rows), pa.list_(pa.int64())), h1.take(at), lists], names=["cell", "node", "partners", "h1", "shingles"])
+                        if off[-1] >= OUT_SHINGLES:
+                            yield batch(h1, node, rows, flat, off)
+                            rows, flat, off = [], [], [0]
+            yield batch(h1, node, rows, flat, off)
 
     return run
 
@@ -319,7 +340,7 @@ def _dealt(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rk"), text_bytes().alias("text"))
     shared = spark.sparkContext.broadcast(frequency_sketch(rows, words))
-    sets = stored(rows.mapInArrow(_sets(shared, words, percent), SETS_DDL), "sets")
+    sets = stored(rows.mapInArrow(released(_sets(shared, words, percent)), SETS_DDL), "sets")
     full = sets.where("n > 0")
 
     # classes of equal sets, and groups of classes with equal prefix and size, in lots of bounded size
@@ -337,7 +358,7 @@ def _dealt(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     tokens, hot = _tokens(groups)
     w = Window.partitionBy("token", "cell")
     met = tokens.withColumn("met", F.count("*").over(w.orderBy("np").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("met > 1").drop("met")
-    lists = met.mapInArrow(_partners(percent), LISTS_DDL)
+    lists = met.mapInArrow(released(_partners(percent)), LISTS_DDL)
     alone = ids.where("members > 1").select(F.col("gid").alias("node"), F.array("gid").alias("partners"), F.col("gid").alias("low"))
     lists = stored(lists.unionByName(alone), "lists")
     drop_stored(groups, hot)
@@ -346,7 +367,7 @@ def _dealt(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     home = lists.groupBy("node").agg(F.min("low").alias("home"), F.sum(F.size("partners")).alias("pairs"))
     work = home.groupBy("home").agg(F.ceil(F.sqrt(F.sum("pairs") / CELL_PAIRS)).cast("long").alias("blocks"))
     home = stored(home.join(work, "home").select("node", "home", F.greatest("blocks", F.lit(1)).alias("blocks")), "home")
-    laid = lists.where(F.size("partners") > 0).select("node", "partners").join(home, "node").repartition("home", F.pmod("node", "blocks")).mapInArrow(_layout, CELLS_DDL)
+    laid = lists.where(F.size("partners") > 0).select("node", "partners").join(home, "node").repartition("home", F.pmod("node", "blocks")).mapInArrow(released(_layout), CELLS_DDL)
     laid = stored(laid, "cells")
 
     # the whole sets of classes that have a partner go to the cells that want them
@@ -354,7 +375,7 @@ def _dealt(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     wanted = stored(classes.join(ids.select("pk", "n", "lot", F.col("gid").alias("node")), ["pk", "n", "lot"]).join(cells, "node").select("rk", "h1", "node", "cells"), "wanted")
     size = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("cells")), F.lit(0)).alias("cells")).first()
     found = rows.select("rk", "text").join(maybe_broadcast(wanted, 1, 64 * size["rows"] + 8 * size["cells"]), "rk").select("h1", "node", "cells", "text")
-    sent = found.mapInArrow(_whole_sets(words), DEALT_DDL)
+    sent = found.mapInArrow(released(_whole_sets(words)), DEALT_DDL)
     asked = laid.where("partners is not null").select("cell", "node", "partners", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("array<long>").alias("shingles"))
     dealt = asked.unionByName(sent).repartition("cell").sortWithinPartitions("cell", F.col("h1").asc_nulls_first())
     return sets, classes, dealt, [lots_stored, lists, home, laid, wanted, classes]
@@ -363,7 +384,7 @@ def _dealt(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
 def ngram_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     sets, classes, dealt, held = _dealt(docs, words, percent)
-    label = components(dealt.mapInArrow(_verify(percent), "u long, v long"))
+    label = components(dealt.mapInArrow(released(_verify(percent)), "u long, v long"))
 
     # the least document of each component, for every row
     named = classes.join(label.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "n", "doc_id", F.coalesce("label", "h1").alias("label"))
@@ -382,7 +403,7 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     links with.
     """
     sets, classes, dealt, held = _dealt(docs, words, percent)
-    links = stored(dealt.mapInArrow(_verify(percent, every=True), "class_a long, class_b long"), "links")
+    links = stored(dealt.mapInArrow(released(_verify(percent, every=True)), "class_a long, class_b long"), "links")
     degree = links.select(F.explode(F.array("class_a", "class_b")).alias("h1")).groupBy("h1").agg(F.count("*").alias("n_links"))
     drop_stored(*held)
     members = sets.select("doc_id", "n", "h1").join(degree, "h1", "left")

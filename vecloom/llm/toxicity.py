@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import batch_of, drop_stored, stored, text_batches
+from vecloom.llm.common import batch_of, drop_stored, released, stored, text_batches
 from vecloom.llm.pieces import PieceCache
 
 SAMPLE, THRESHOLD = 20_000, 0.7
@@ -225,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int =
     """
     text_batches(docs.sparkSession)
     rows = stored(training_rows(docs, labels, sample), "training")  # at most `sample` labels; read four times
-    words = rows.mapInArrow(_word_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = rows.mapInArrow(released(_word_counts), "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
@@ -242,15 +242,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int =
         for b in batches:
             seen = Counter(w for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if toxic != 1 for w in draft.near_forms(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        draft.cache.clear()
 
-    common = rows.mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")  # words of the training rows, so their bound is that of `sample`
+    common = rows.mapInArrow(released(near), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")  # words of the training rows, so their bound is that of `sample`
     model = ToxicModel(draft.terms, draft.strength, frozenset(r["word"] for r in common.select("word").collect()))
 
     def featured(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([[*model.features(t)[1], float(y == 1)] for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.list_(pa.float64()))], names=["f"])
+        model.cache.clear()
 
-    table = np.array([r["f"] for r in rows.mapInArrow(featured, "f array<double>").collect()])  # at most `sample` short rows
+    table = np.array([r["f"] for r in rows.mapInArrow(released(featured), "f array<double>").collect()])  # at most `sample` short rows
     drop_stored(rows)
     table = table[np.lexsort(table.T)]  # sums don't depend on the order in which rows came
     weights, bias = fit_logistic(table[:, :-1], table[:, -1])
@@ -265,8 +267,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESH
             found = [model.features(t or "") for t in b.column(1).to_pylist()]
             s = model.score(np.array([f for _, f in found]).reshape(-1, 6))
             yield batch_of(SCORES, b.column(0), s, (s >= threshold).astype(np.int32), [n for n, _ in found])
+        model.cache.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORES_DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), SCORES_DDL)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -277,8 +280,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         for b in batches:
             s = model.score(np.array([model.features(t or "")[1] for t in b.column(at).to_pylist()]).reshape(-1, 6))
             yield b.filter(pa.array(s < threshold))
+        model.cache.clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
